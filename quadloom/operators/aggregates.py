@@ -46,7 +46,7 @@ def number_term(rank: Column, integer: Column, decimal: Column, double: Column)
     """A numeric literal of the given promotion rank; NULL where its value is NULL."""
     exact = F.regexp_replace(
         F.regexp_replace(decimal.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
-    floating = double.cast("string")
+    floating = F.replace(double.cast("string"), F.lit("Infinity"), F.lit("INF"))
     return (
         F.when(rank.isNull(), F.lit(None))
         .when((rank == 0) & integer.isNotNull(), literal_term(integer.cast("string"), XSD_INTEGER))

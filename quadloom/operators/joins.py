@@ -290,8 +290,8 @@ def star(graph: DataFrame, attributes: dict[str, str], class_iri: str | None = N
             found.append(F.when(
                 n > 1, F.raise_error(F.lit(f"{name} has several values for one subject"))
             ).otherwise(value).alias(name))
-        grouped = rows.groupBy("s", "s_kind").agg(*found).dropna(subset=list(fused))
-        out = grouped.select(subject_term().alias(subject), *fused)
+        # grouped by the term itself, so that the joins below reuse this partitioning
+        out = rows.groupBy(subject_term().alias(subject)).agg(*found).dropna(subset=list(fused))
     for name, p in attributes.items():
         if out is not None and name in out.columns:
             continue

@@ -70,7 +70,7 @@ def number_copies(df: DataFrame, count: str, out: str) -> DataFrame:
     n = F.col(count).cast("long")
     chunks = df.select("*", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((n - 1) / COPY_CHUNK))).alias("__chunk"))
-    return _unfold(chunks, count, out)
+    return _unfold(chunks.repartition(*df.columns, "__chunk"), count, out)
 
 
 def _unfold(chunks: DataFrame, count: str, out: str) -> DataFrame:
