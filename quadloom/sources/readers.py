@@ -98,12 +98,14 @@ def escape(c: Column) -> Column:
 # ---------------------------------------------------------------- line formats
 def _scoped(label: Column) -> Column:
     """Blank node labels belong to their file."""
-    return F.concat_ws("/", F.col("source_idx").cast("string"), F.col("file_idx").cast("string"), label)
+    return F.concat_ws("/", "scope", label)
 
 
 def _parsed(lines: DataFrame, line_regex: str, fields: int) -> DataFrame:
     """One match per line: the groups joined by a line feed, which no line can contain."""
     kept = lines.filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    if "scope" not in lines.columns:
+        kept = kept.withColumn("scope", F.concat_ws("/", "source_idx", "file_idx"))
     template = "\n".join(f"${i}" for i in range(1, fields + 1))
     return kept.withColumn("__f", F.split(F.regexp_replace("line", line_regex, template), "\n", -1))
 
