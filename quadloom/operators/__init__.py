@@ -13,6 +13,6 @@ from .paths import (  # noqa: F401
     path_alt, path_closure, path_inv, path_neg, path_seq, path_step,
 )
 from .patterns import (  # noqa: F401
-    ask, construct, dataset, describe, distinct_quads, expand_iri, extend, from_graphs, in_graph,
+    ask, ask_result, construct, dataset, describe, distinct_quads, expand_iri, extend, from_graphs, in_graph,
     instances, keyword_filter, pattern, project, values, where,
 )

@@ -168,6 +168,11 @@ def ask(bindings: DataFrame) -> bool:
     return not bindings.isEmpty()
 
 
+def ask_result(bindings: DataFrame) -> DataFrame:
+    """ASK as a one-row table, stopping at the first solution."""
+    return bindings.limit(1).agg((F.count("*") > 0).alias("answer"))
+
+
 # ---------------------------------------------------------------- graphs out of bindings
 def _template_term(node, row_id: str) -> Column:
     if isinstance(node, Var):
