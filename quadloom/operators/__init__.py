@@ -3,7 +3,7 @@ from .aggregates import (  # noqa: F401
     sum_term, triple_count,
 )
 from .joins import (  # noqa: F401
-    bgp, compatible_join, exists, minus, mutual_pairs, optional, order_patterns, product,
+    bgp, compatible_join, exists, minus, mutual_pairs, optional, order_patterns, pattern_counts, product,
     reduce_by, star, union,
 )
 from .modifiers import (  # noqa: F401

@@ -222,6 +222,13 @@ def _variables(triple: Triple) -> set[str]:
     return {n.name for n in triple if isinstance(n, Var)}
 
 
+def pattern_counts(graph: DataFrame, patterns: list[Triple]) -> dict[str, int]:
+    """Triples per constant predicate of the patterns: at most one row per pattern."""
+    wanted = sorted({t[1].value for t in patterns if isinstance(t[1], Iri)})
+    found = graph.filter(F.col("p").isin(wanted)).groupBy("p").agg(F.count("*").alias("n"))
+    return {r["p"]: r["n"] for r in found.collect()}
+
+
 def order_patterns(patterns: list[Triple], counts: dict[str, int]) -> list[Triple]:
     """Smallest predicate first, then always one connected to what is joined already."""
     def size(t):
@@ -277,6 +284,8 @@ def star(graph: DataFrame, attributes: dict[str, str], class_iri: str | None = N
     unknown = set(functional) - set(attributes)
     if unknown:
         raise ValueError(f"not attributes: {sorted(unknown)}")
+    if subject in attributes:
+        raise ValueError(f"{subject} is the subject: choose another name for the attribute")
     fused = {a: p for a, p in attributes.items() if a in functional}
     out = None
     if len(fused) > 1:

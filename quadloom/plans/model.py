@@ -6,12 +6,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.strings import slug
 from ..operators.joins import star
+from ..operators.modifiers import row_index
 from ..operators.paths import path_alt, path_seq
 from ..operators.patterns import instances
 from ..session import lookup
@@ -302,15 +302,19 @@ def unique_names(df: DataFrame, base: str, position: str, out: str = "name") ->
     """The first use of a name keeps it, later ones get ``_1``, ``_2`` in order.
 
     A made-up name that equals a written one stops the job instead of hiding a table.
-    Catalog rows only: their number is that of the tables, not of the data.
+    Positions come from the distributed row index, so one frequent name is no bottleneck.
     """
-    nth = F.row_number().over(Window.partitionBy(base).orderBy(position)) - 1
-    named = df.withColumn(out, F.when(nth == 0, F.col(base)).otherwise(
-        F.concat_ws("_", F.col(base), nth.cast("string"))))
-    uses = F.count("*").over(Window.partitionBy(out))
+    indexed = row_index(df, [base, position], out="__at")
+    first = indexed.groupBy(base).agg(F.min("__at").alias("__first"))
+    nth = F.col("__at") - F.col("__first")
+    named = indexed.join(first, base).select(
+        *df.columns, F.when(nth == 0, F.col(base)).otherwise(
+            F.concat_ws("_", F.col(base), nth.cast("string"))).alias(out))
+    uses = named.groupBy(out).agg(F.count("*").alias("__uses"))
     message = F.concat(F.lit("two tables are named "), F.col(out))
-    return named.withColumn("__uses", uses).filter(
-        F.when(F.col("__uses") == 1, F.lit(True)).otherwise(F.raise_error(message))).drop("__uses")
+    return named.join(uses, out).filter(
+        F.when(F.col("__uses") == 1, F.lit(True)).otherwise(F.raise_error(message))
+    ).select(*df.columns, out)
 
 
 def query_catalog(spark: SparkSession, spec: list[Attribute],
@@ -339,7 +343,3 @@ def query_catalog(spark: SparkSession, spec: list[Attribute],
         df.filter(~is_named))
     based = kept.withColumn("__base", F.concat_ws("__", slug(F.col("config")), "__tail"))
     return unique_names(based, "__base", "pos").select("name", "config", "kind", "subject", "attribute")
-
-
-def text_columns(df: DataFrame) -> list[Column]:
-    return [F.col(c)["value"].alias(c) for c in df.columns]

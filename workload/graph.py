@@ -245,11 +245,10 @@ def chain_customer_region(spark, sf):
     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1""")
 def chain_ordered_by_counts(spark, sf):
     g = one_graph(spark, sf, "orders", "customer", "nation")
-    counts = {EX + "customer": 15_000, EX + "status": 15_000, EX + "name": 1_500, EX + "nation": 1_500,
-              LABEL: 25, EX + "region": 25}
-    b = op.bgp(g, [(V("o"), ex("status"), V("status")), (V("o"), ex("customer"), V("c")),
-                   (V("c"), ex("name"), V("customer")), (V("c"), ex("nation"), V("n")),
-                   (V("n"), Iri(LABEL), V("nation")), (V("n"), ex("region"), ex("region/1"))], counts)
+    chain = [(V("o"), ex("status"), V("status")), (V("o"), ex("customer"), V("c")),
+             (V("c"), ex("name"), V("customer")), (V("c"), ex("nation"), V("n")),
+             (V("n"), Iri(LABEL), V("nation")), (V("n"), ex("region"), ex("region/1"))]
+    b = op.bgp(g, chain, op.pattern_counts(g, chain))
     return values(b, "status", "customer", "nation")
 
 
