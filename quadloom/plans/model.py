@@ -14,8 +14,8 @@ from ..operators.joins import star
 from ..operators.modifiers import row_index
 from ..operators.paths import path_alt, path_seq
 from ..operators.patterns import instances
-from ..session import lookup
-from ..terms import RDF_TYPE, Iri, node_term, subject_term
+from ..session import lookup, materialise
+from ..terms import RDF_TYPE, Iri, iri_term, node_term, subject_term
 
 # --- fixed values ---
 ALL_ATTRIBUTES_QUERY = "databaseinfo__all_attributes"
@@ -220,38 +220,55 @@ def entity_table(graph: DataFrame, spec: list[Attribute], variables: list[str],
     if not subjects:
         raise ValueError("a table needs at least one subject of the model")
 
-    def block(subject: str, extra: list[str]) -> DataFrame:
+    centre, reached, links = subjects[0], {subjects[0]}, {}
+    for other in subjects[1:]:
+        link = next((a for a in spec if a.ref == other and a.subject in reached), None)
+        if link is None:
+            raise ValueError(f"nothing in the table refers to {other}")
+        links[other] = link
+        reached.add(other)
+
+    # columns get neutral names, since variables may differ in case only
+    column: dict[tuple[str, str | None], str] = {}
+
+    def name_of(subject: str, attribute: str | None) -> str:
+        return column.setdefault((subject, attribute), f"__v{len(column)}")
+
+    def block(subject: str) -> DataFrame:
         mine = _of(spec, subject)
-        wanted = [a for a in mine if a.attribute in variables or a.attribute in extra]
-        simple = {a.attribute: a.paths[0][0] for a in wanted
+        needed = {l.attribute for l in links.values() if l.subject == subject}
+        wanted = [a for a in mine if a.attribute in variables or a.attribute in needed]
+        bound = {name_of(subject, a.attribute): params[a.attribute] for a in wanted if a.attribute in params}
+        me = name_of(subject, None)
+        if subject in params:
+            bound[me] = params[subject]
+        simple = {name_of(subject, a.attribute): a.paths[0][0] for a in wanted
                   if len(a.paths) == 1 and len(a.paths[0]) == 1}
-        out = instances(graph, mine[0].class_iri, subject)
+        fixed = tuple(name_of(subject, a.attribute) for a in wanted
+                      if a.attribute in functional and name_of(subject, a.attribute) in simple)
         if simple:
-            fixed = tuple(n for n in functional if n in simple)
-            out = star(graph, simple, mine[0].class_iri, subject, fixed)
-        out = _restrict(out, params)
+            out = star(graph, simple, mine[0].class_iri, me, fixed)
+        else:
+            out = instances(graph, mine[0].class_iri, me)
+        out = _restrict(out, bound)
         for a in wanted:
-            if a.attribute not in simple:
-                pairs = _pairs(graph, a).select(F.col("entity").alias(subject),
-                                                F.col("value").alias(a.attribute))
-                out = out.join(_restrict(pairs, params), subject)
+            mark = name_of(subject, a.attribute)
+            if mark not in simple:
+                pairs = _pairs(graph, a).select(F.col("entity").alias(me), F.col("value").alias(mark))
+                out = out.join(_restrict(pairs, bound), me)
         return out
 
-    centre, joined = subjects[0], {subjects[0]}
-    links = {}
-    for other in subjects[1:]:
-        link = next((a for a in spec if a.ref == other and a.subject in joined), None)
-        if link is None:
-            raise ValueError(f"nothing in the table refers to {other}")
-        links[other] = link
-        joined.add(other)
-    out = block(centre, [l.attribute for l in links.values() if l.subject == centre])
+    out = block(centre)
     for other, link in links.items():
-        right = block(other, [l.attribute for l in links.values() if l.subject == other])
-        clash = [c for c in right.columns if c in out.columns and c != other]
-        right = right.drop(*clash)
-        out = out.withColumn(other, F.col(link.attribute)).join(right, other)
-    return out.select(*[v for v in variables if v in out.columns])
+        right = block(other)
+        me = name_of(other, None)
+        out = out.withColumn(me, F.col(name_of(link.subject, link.attribute))).join(right, me)
+    chosen = []
+    for v in variables:
+        place = next(((s, k) for s, k in column if (k is None and s == v) or k == v), None)
+        if place is not None:
+            chosen.append((column[place], v))
+    return out.select(*[c for c, _ in chosen]).toDF(*[v for _, v in chosen])
 
 
 # ---------------------------------------------------------------- nested documents
@@ -259,42 +276,56 @@ def documents(graph: DataFrame, spec: list[Attribute], subject: str, depth: int
               iris: list[str] | None = None, part_size: int = 10_000) -> DataFrame:
     """One nested document per entity: ``(entity, part, doc)``.
 
-    Attributes are arrays of texts; a reference embeds the document of what it refers to,
-    ``depth`` levels deep.  An entity with more than ``part_size`` values of an attribute is
-    written as several numbered parts that together hold all values, so no row or task
-    collects an unbounded group.
+    Attributes are arrays of texts; a reference is its IRI with the document of what it
+    refers to, ``depth`` levels deep.  An entity with more than ``part_size`` values of an
+    attribute is written as several numbered parts that together hold all values, so no
+    row or task collects an unbounded group.
     """
-    spark = graph.sparkSession
+    only = None
+    if iris is not None:
+        wanted = lookup(graph.sparkSession, [(i,) for i in iris], "iri string")
+        only = wanted.select(iri_term(F.col("iri")).alias("entity"))
+    return _documents(graph, spec, subject, depth, only, part_size)
+
+
+def _documents(graph, spec, subject, depth, only, part_size) -> DataFrame:
     mine = _of(spec, subject)
+    known = {a.subject for a in spec}
+    refs = [a.attribute for a in mine if a.ref in known and depth > 0]
     members = instances(graph, mine[0].class_iri, "entity")
     facts = attribute_facts(graph, mine).select("entity", "attribute", "value")
-    if iris is not None:
-        wanted = lookup(spark, [(i,) for i in iris], "__iri string")
-        members = members.join(wanted, F.col("entity")["value"] == F.col("__iri"), "left_semi")
-        facts = facts.join(wanted, F.col("entity")["value"] == F.col("__iri"), "left_semi")
+    if only is not None:
+        members = members.join(only, "entity", "left_semi")
+        facts = facts.join(only, "entity", "left_semi")
+    facts = materialise(facts, "facts")  # read several times below; the graph only once
     large = facts.groupBy("entity", "attribute").agg(F.count("*").alias("__n")).filter(
         F.col("__n") > part_size)
-    parts = F.ceil(F.col("__n") / part_size)
-    facts = facts.join(large, ["entity", "attribute"], "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("value"), parts), F.lit(0)).cast("int"))
-    frames = [members.select("entity", F.lit(0).alias("part"))]
+    spread = F.pmod(F.xxhash64("value"), F.ceil(F.col("__n") / part_size))
+    facts = facts.join(large, ["entity", "attribute"], "left").select(
+        "entity", "attribute", "value", F.coalesce(spread, F.lit(0)).cast("int").alias("__part"))
+    column = {a.attribute: f"__a{i}" for i, a in enumerate(mine)}
+    plain = [a.attribute for a in mine if a.attribute not in refs]
+    frames = [members.select("entity", F.lit(0).alias("__part"))]
+    if plain:
+        text = F.col("value")["value"]
+        frames.append(facts.filter(F.col("attribute").isin(plain)).select("entity", "__part", *[
+            F.when(F.col("attribute") == name, text).alias(column[name]) for name in plain]))
     for a in mine:
-        values = facts.filter(F.col("attribute") == a.attribute)
-        if a.ref is not None and depth > 0 and any(b.subject == a.ref for b in spec):
-            below = documents(graph, spec, a.ref, depth - 1, None, part_size)
-            values = values.select("entity", "part", "value").join(
-                below.select(F.col("entity").alias("value"), F.col("doc").alias("__doc")), "value", "left")
-            item = F.when(F.col("__doc").isNotNull(), F.col("__doc"))
-            bare = F.struct(F.col("value")["value"].alias("iri"))
-            named = F.struct(bare["iri"].alias("iri"), item.alias("document"))
-            frames.append(values.select("entity", "part", named.alias(a.attribute)))
-        else:
-            frames.append(values.select("entity", "part", F.col("value")["value"].alias(a.attribute)))
+        if a.attribute in refs:
+            links = facts.filter(F.col("attribute") == a.attribute).select("entity", "__part", "value")
+            narrowed = None
+            if only is not None:
+                narrowed = links.select(F.col("value").alias("entity")).distinct()
+            below = _documents(graph, spec, a.ref, depth - 1, narrowed, part_size).select(
+                F.col("entity").alias("value"), F.col("doc").alias("__doc"))
+            item = F.struct(F.col("value")["value"].alias("iri"), F.col("__doc").alias("document"))
+            frames.append(links.join(below, "value", "left").select(
+                "entity", "__part", item.alias(column[a.attribute])))
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
-    arrays = [F.sort_array(F.collect_list(a.attribute)).alias(a.attribute) for a in mine]
-    grouped = rows.groupBy("entity", "part").agg(*arrays)
-    return grouped.select("entity", "part", F.struct(
-        F.col("entity")["value"].alias("iri"), *[a.attribute for a in mine]).alias("doc"))
+    grouped = rows.groupBy("entity", "__part").agg(*[
+        F.sort_array(F.collect_list(c)).alias(c) for c in column.values()])
+    doc = F.struct(F.col("entity")["value"].alias("iri"), *[F.col(c).alias(n) for n, c in column.items()])
+    return grouped.select("entity", F.col("__part").alias("part"), doc.alias("doc"))
 
 
 # ---------------------------------------------------------------- catalog of tables

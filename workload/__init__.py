@@ -1,2 +1,2 @@
-from . import graph, sources, values  # noqa: F401
+from . import graph, logs, sources, tables, values  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
