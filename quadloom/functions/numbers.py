@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import number_term
 from ..terms import (
-    LITERAL, XSD, XSD_BOOLEAN, XSD_DATETIME, XSD_DECIMAL, XSD_DOUBLE, XSD_INTEGER, decimal_of,
-    double_of, iri_term, literal_term, number_rank, time_of,
+    INTEGER_TYPES, LITERAL, XSD, XSD_BOOLEAN, XSD_DATE, XSD_DATETIME, XSD_DECIMAL, XSD_DOUBLE,
+    XSD_FLOAT, XSD_INTEGER, decimal_of, double_of, iri_term, literal_term, number_rank, time_of,
 )
 from .strings import is_string
 
 
+@dataclass(frozen=True)
+class Number:
+    """A numeric value in the forms an operator may need, each NULL where it does not apply.
+
+    Results of arithmetic carry these along, so a nested expression works on numbers and not
+    on the texts of its intermediate terms.
+    """
+
+    rank: Column      # 0 integer, 1 decimal, 2 float, 3 double
+    whole: Column     # decimal(38,0)
+    exact: Column     # decimal(28,9)
+    floating: Column  # double
+
+
 def num(x) -> Column:
     """A numeric argument: a term column or a Python number."""
     if isinstance(x, bool):
@@ -24,14 +39,41 @@ def num(x) -> Column:
     return x
 
 
+def _number(x) -> Number:
+    if not isinstance(x, Column):
+        dt = XSD_INTEGER if isinstance(x, int) else XSD_DOUBLE
+        x = num(x)
+        return Number(F.lit(0 if dt == XSD_INTEGER else 3), decimal_of(x, "decimal(38,0)"),
+                      decimal_of(x, "decimal(28,9)"), double_of(x))
+    known = x.__dict__.get("quadloom_number")
+    if known is not None:
+        return known
+    whole = F.when(x["dt"].isin(INTEGER_TYPES), x["value"].try_cast("decimal(38,0)"))
+    return Number(number_rank(x), whole, decimal_of(x, "decimal(28,9)"), double_of(x))
+
+
+def _term(n: Number) -> Column:
+    """The literal of a number, unbound where it has no value."""
+    exact = F.regexp_replace(
+        F.regexp_replace(n.exact.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+    floating = F.replace(n.floating.cast("string"), F.lit("Infinity"), F.lit("INF"))
+    text = F.when(n.rank == 0, n.whole.cast("string")).when(n.rank == 1, exact).when(n.rank >= 2, floating)
+    dt = F.element_at(F.array(*[F.lit(d) for d in (XSD_INTEGER, XSD_DECIMAL, XSD_FLOAT, XSD_DOUBLE)]), n.rank + 1)
+    made = F.when(text.isNotNull(), literal_term(text, dt))
+    made.__dict__["quadloom_number"] = n
+    return made
+
+
 # ---------------------------------------------------------------- arithmetic
+def _higher(a: Column, b: Column) -> Column:
+    """The larger rank; NULL unless both are numbers."""
+    return F.when(a >= b, a).when(b > a, b)
+
+
 def _operate(a, b, op) -> Column:
-    a, b = num(a), num(b)
-    rank = F.when(double_of(a).isNotNull() & double_of(b).isNotNull(),
-                  F.greatest(number_rank(a), number_rank(b)))
-    whole = op(decimal_of(a, "decimal(38,0)"), decimal_of(b, "decimal(38,0)"))
-    exact = op(decimal_of(a, "decimal(28,9)"), decimal_of(b, "decimal(28,9)"))
-    return number_term(rank, whole.cast("decimal(38,0)"), exact, op(double_of(a), double_of(b)))
+    a, b = _number(a), _number(b)
+    return _term(Number(_higher(a.rank, b.rank), op(a.whole, b.whole).cast("decimal(38,0)"),
+                        op(a.exact, b.exact).cast("decimal(28,9)"), op(a.floating, b.floating)))
 
 
 def add(a, b) -> Column:
@@ -48,28 +90,24 @@ def multiply(a, b) -> Column:
 
 def divide(a, b) -> Column:
     """Two integers give a decimal; division of exact numbers by zero is an error."""
-    a, b = num(a), num(b)
-    rank = F.when(double_of(a).isNotNull() & double_of(b).isNotNull(),
-                  F.greatest(number_rank(a), number_rank(b), F.lit(1)))
-    exact = F.try_divide(decimal_of(a, "decimal(28,9)"), decimal_of(b, "decimal(28,9)"))
-    x, y = double_of(a), double_of(b)
-    floating = F.when(y != 0, F.try_divide(x, y)).when(
-        x.isNull() | y.isNull(), F.lit(None)).when(
-        (x == 0) | F.isnan(x), F.lit(float("nan"))).otherwise(
-        F.when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
-    return number_term(rank, F.lit(None).cast("decimal(38,0)"), exact, floating)
-
-
-def _same_type(t: Column, exact, floating) -> Column:
-    t = num(t)
-    whole = decimal_of(t, "decimal(38,0)")
-    return number_term(number_rank(t), exact(whole).cast("decimal(38,0)"),
-                       exact(decimal_of(t, "decimal(38,18)")).cast("decimal(38,18)"),
-                       floating(double_of(t)))
+    a, b = _number(a), _number(b)
+    rank = _higher(a.rank, b.rank)
+    x, y = a.floating, b.floating
+    by_zero = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).when(
+        x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
+    floating = F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
+    return _term(Number(F.when(rank == 0, 1).otherwise(rank), F.lit(None).cast("decimal(38,0)"),
+                        F.try_divide(a.exact, b.exact).cast("decimal(28,9)"), floating))
+
+
+def _same_type(t, exact, floating) -> Column:
+    n = _number(t)
+    return _term(Number(n.rank, n.whole, exact(n.exact).cast("decimal(28,9)"), floating(n.floating)))
 
 
 def abs_(t) -> Column:
-    return _same_type(t, F.abs, F.abs)
+    n = _number(t)
+    return _term(Number(n.rank, F.abs(n.whole), F.abs(n.exact), F.abs(n.floating)))
 
 
 def ceil(t) -> Column:
@@ -96,17 +134,34 @@ def number(t: Column, kind: str = "long") -> Column:
 
 
 # ---------------------------------------------------------------- comparison
+def _is_number(x) -> bool:
+    if isinstance(x, Column):
+        return "quadloom_number" in x.__dict__
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
 def _compare(a, b, op) -> Column:
+    """By value: numbers with numbers, times with times, texts of one language, booleans."""
+    out = None
+    if not isinstance(a, str) and not isinstance(b, str):
+        x, y = _number(a), _number(b)
+        out = (
+            F.when((x.rank == 0) & (y.rank == 0), op(x.whole, y.whole))
+            .when((x.rank <= 1) & (y.rank <= 1), op(x.exact, y.exact))
+            .when(x.rank.isNotNull() & y.rank.isNotNull(), op(x.floating, y.floating))
+        )
+        if _is_number(a) or _is_number(b):
+            return out
+        out = out.when(a["dt"].isin(XSD_DATETIME, XSD_DATE) & b["dt"].isin(XSD_DATETIME, XSD_DATE),
+                       op(time_of(a), time_of(b)))
+        out = out.when((a["dt"] == XSD_BOOLEAN) & (b["dt"] == XSD_BOOLEAN),
+                       op(a["value"].try_cast("boolean"), b["value"].try_cast("boolean")))
+    elif _is_number(a) or _is_number(b):
+        return F.lit(None).cast("boolean")
     a, b = _const(a), _const(b)
-    exact = (decimal_of(a), decimal_of(b))
-    return (
-        F.when(exact[0].isNotNull() & exact[1].isNotNull(), op(*exact))
-        .when(double_of(a).isNotNull() & double_of(b).isNotNull(), op(double_of(a), double_of(b)))
-        .when(time_of(a).isNotNull() & time_of(b).isNotNull(), op(time_of(a), time_of(b)))
-        .when(is_string(a) & is_string(b) & (a["lang"] == b["lang"]), op(a["value"], b["value"]))
-        .when((a["dt"] == XSD_BOOLEAN) & (b["dt"] == XSD_BOOLEAN),
-              op(a["value"].try_cast("boolean"), b["value"].try_cast("boolean")))
-    )
+    texts = is_string(a) & is_string(b) & (a["lang"] == b["lang"])
+    found = op(a["value"], b["value"])
+    return F.when(texts, found) if out is None else out.when(texts, found)
 
 
 def _const(x) -> Column:
@@ -136,8 +191,8 @@ def eq(a, b) -> Column:
 
     Two different literals of types without a known value space are an error, not false.
     """
-    a, b = _const(a), _const(b)
     by_value = _compare(a, b, lambda x, y: x == y)
+    a, b = _const(a), _const(b)
     known = [XSD + "string", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"]
     different = (a["kind"] != b["kind"]) | (a["kind"] != LITERAL) | (
         a["dt"].isin(known) & b["dt"].isin(known))
@@ -261,6 +316,3 @@ def uuid() -> Column:
 def struuid() -> Column:
     return literal_term(F.uuid())
 
-
-def decimal_value(t: Column) -> Column:
-    return F.when(t["dt"].isin(XSD_DECIMAL, XSD_INTEGER), decimal_of(t))
