@@ -125,7 +125,8 @@ def row_path() -> Column:
 def discover_files(spark: SparkSession, sources: DataFrame, config_dir: str = "/") -> DataFrame:
     """Files of every source with their position in path order, folder by folder.
 
-    Only file metadata is read.  ``file_idx`` comes from the distributed row index, so a
+    Only file metadata is read.  Spark's listing leaves out files of zero bytes and names
+    beginning with a dot or an underscore.  ``file_idx`` comes from the distributed row index, so a
     source that holds most files is not sorted in one task.
     """
     listings = []

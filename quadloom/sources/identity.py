@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import workers
 from .catalog import listed
 
@@ -34,10 +35,14 @@ def content_hash(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def build_manifest(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per input file with graph, format and content hash."""
+    """One row per input file with graph, format and content hash.
+
+    Written to the shared folder once, so that later steps never hash the files again and
+    all see the same state of the inputs.
+    """
     hashes = content_hash(files.sparkSession, files).select("source_idx", "file_idx", "sha256")
-    return listed(files, sources).join(hashes, ["source_idx", "file_idx"]).select(
-        "source_idx", "file_idx", "path", "graph", "format", "sha256", "size", "mtime")
+    return materialise(listed(files, sources).join(hashes, ["source_idx", "file_idx"]).select(
+        "source_idx", "file_idx", "path", "graph", "format", "sha256", "size", "mtime"), "manifest")
 
 
 def input_hash(manifest: DataFrame) -> str:
@@ -78,8 +83,8 @@ def refresh_manifest(files: DataFrame, sources: DataFrame, old: DataFrame) -> Da
         ["source_idx", "file_idx"])
     columns = ["source_idx", "file_idx", "path", "size", "mtime", "sha256"]
     both = kept.select(*columns).unionByName(hashed.select(*columns))
-    return listed(both, sources).select(
-        "source_idx", "file_idx", "path", "graph", "format", "sha256", "size", "mtime")
+    return materialise(listed(both, sources).select(
+        "source_idx", "file_idx", "path", "graph", "format", "sha256", "size", "mtime"), "manifest")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

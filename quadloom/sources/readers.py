@@ -175,10 +175,8 @@ def assign_graph(quads: DataFrame, sources: DataFrame) -> DataFrame:
 def read_quads(spark: SparkSession, manifest: DataFrame, mode: str = "failfast"):
     """All files of a manifest as one quad table, each by the reader of its format."""
     made, rejects = [], []
-    for fmt in ("nt", "nq", "ttl"):
+    for fmt in sorted(r["format"] for r in manifest.select("format").distinct().collect()):
         files = manifest.filter(F.col("format") == fmt)
-        if files.isEmpty():
-            continue
         if fmt == "nt":
             got = read_ntriples(read_lines(spark, files), mode=mode)
         elif fmt == "nq":

@@ -224,23 +224,16 @@ def store_load_keep_refresh(spark, sf):
         entries = [{"path": f"{f}/part-*", "format": "nq"} for f in (a, b)]
         sources = catalog.checked_sources(catalog.source_catalog(spark, entries))
         return identity.build_manifest(catalog.discover_files(spark, sources), sources)
-    old = identity_snapshot(spark, manifest())
+    old = manifest()
     first = store.load_quads(spark, old, place)
     second = store.load_quads(spark, manifest(), place)
     writers.write_nquads(table_quads(spark, sf, "customer"), a)
-    rewritten = store.refresh_quads(spark, old, identity_snapshot(spark, manifest()), place)
+    rewritten = store.refresh_quads(spark, old, manifest(), place)
     return store.read_store(spark, place).agg(
         F.lit(first).alias("first"), F.lit(second).alias("second"),
         F.lit(",".join(map(str, rewritten))).alias("rewritten"), F.count("*").alias("quads"))
 
 
-def identity_snapshot(spark, manifest):
-    """The manifest as stored with a load, so that later file changes do not alter it."""
-    path = scratch_path(spark, "manifest")
-    identity.write_manifest(manifest, path)
-    return identity.read_manifest(spark, path)
-
-
 @query("insert_and_delete", f"""
     SELECT {NAT} AS s, '{RDFS}label' AS p, n_name AS o FROM nation WHERE n_regionkey <> 1
     UNION ALL SELECT {NAT}, '{EX}region', {iri('region', 'n_regionkey')} FROM nation
