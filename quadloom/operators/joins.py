@@ -181,20 +181,24 @@ def exists(left: DataFrame, right: DataFrame, negate: bool = False,
 
 
 def optional(left: DataFrame, right: DataFrame, condition: Column | None = None,
-             bound: tuple[str, ...] = (), hot_right: bool = False) -> DataFrame:
+             bound: tuple[str, ...] = (), skew_safe: bool | None = None) -> DataFrame:
     """OPTIONAL: keep every left row, with the compatible right rows where there are any.
 
     ``condition`` is the filter inside the optional group; it may use variables of both
-    sides.  ``hot_right`` writes the outer join as matches plus non-matches: an inner join
-    can be split on either side when one key holds a large share of the right rows, a left
-    outer join only on the left.
+    sides.  ``skew_safe`` writes the outer join as matches plus non-matches: an inner join can
+    be split on either side when one key holds a large share of the rows, a left outer join
+    only on the left, and the non-matches need only the distinct right keys.  It is the
+    default without a condition; with one, the non-matches need the whole right side and a
+    plain outer join is the default.
     """
     shared = _shared(left, right)
     if not shared:
         raise ValueError("OPTIONAL needs a shared variable")
+    if skew_safe is None:
+        skew_safe = condition is None
     out_columns = left.columns + [c for c in right.columns if c not in shared]
     maybe = _unsure(left, right, shared, bound)
-    if not maybe and not hot_right:
+    if not maybe and not skew_safe:
         joined = left.join(_renamed(right, shared), _on(shared, condition), "left")
         return joined.select(*out_columns)
     if not maybe:

@@ -30,17 +30,23 @@ def _is_term(df: DataFrame, name: str) -> bool:
     return isinstance(dtype, T.StructType) and dtype.names == ["kind", "value", "lang", "dt"]
 
 
-def sort_columns(df: DataFrame, keys) -> list[Column]:
-    out = []
-    for key in keys:
+def with_sort_keys(df: DataFrame, keys) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its sort keys as columns, so that each is computed once per row and not
+    once per comparison."""
+    made, order_by = {}, []
+    for i, key in enumerate(keys):
         name = key.name if isinstance(key, desc) else key
-        c = order_key(F.col(name)) if _is_term(df, name) else F.col(name)
-        out.append(c.desc_nulls_last() if isinstance(key, desc) else c.asc_nulls_first())
-    return out
+        c = F.col(name)
+        if _is_term(df, name):
+            made[f"__key{i}"] = order_key(c)
+            c = F.col(f"__key{i}")
+        order_by.append(c.desc_nulls_last() if isinstance(key, desc) else c.asc_nulls_first())
+    return df.withColumns(made) if made else df, order_by
 
 
 def order(bindings: DataFrame, *keys) -> DataFrame:
-    return bindings.orderBy(*sort_columns(bindings, keys))
+    keyed, order_by = with_sort_keys(bindings, keys)
+    return keyed.orderBy(*order_by).select(*bindings.columns)
 
 
 def top_k(bindings: DataFrame, keys: list, k: int) -> DataFrame:
@@ -92,14 +98,15 @@ def row_index(df: DataFrame, keys: list, unique_rows: bool = False, out: str = "
     columns = df.columns
     key_names = [k.name if isinstance(k, desc) else k for k in keys]
     rest = [c for c in columns if c not in key_names]
-    sort = sort_columns(df, list(keys) + rest)
     if unique_rows:
-        ordered = df.orderBy(*sort)
+        keyed, sort = with_sort_keys(df, list(keys) + rest)
+        ordered = keyed.orderBy(*sort).select(*columns)
     else:
         counted = df.groupBy(*columns).agg(F.count("*").alias("__n"))
         chunks = counted.select("*", F.explode(F.sequence(
             F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPY_CHUNK))).alias("__chunk"))
-        ordered = _unfold(chunks.orderBy(*sort, "__chunk"), "__n", "__copy").select(*columns)
+        keyed, sort = with_sort_keys(chunks, list(keys) + rest)
+        ordered = _unfold(keyed.orderBy(*sort, "__chunk"), "__n", "__copy").select(*columns)
     path = scratch_path(spark, "ordered")
     ordered.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -65,25 +65,25 @@ def path_closure(graph: DataFrame, step, min_steps: int = 1, start: DataFrame |
     edges = (path_step(graph, step) if isinstance(step, str) else step).select("s", "o").distinct()
     base = scratch_path(spark, "closure")
 
-    def write(frame: DataFrame, name: str) -> DataFrame:
-        path = f"{base}/{name}"
-        frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
+    def write(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Store a frame and count it in the same job."""
+        path, seen = f"{base}/{name}", Observation()
+        frame.observe(seen, F.count("*").alias("n")).write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path), seen.get["n"]
 
-    hops = write(edges, "edges")
+    hops, _ = write(edges, "edges")
     first = hops
     if start is not None:
         start = start.select(F.col(start.columns[0]).alias("s")).distinct()
         first = hops.join(start, "s", "left_semi")
-    done = [write(first, "round-0")]
-    schema = done[0].schema
-    delta, rounds = done[0], 1
-    while not delta.isEmpty() and (max_steps is None or rounds < max_steps):
+    delta, new = write(first, "round-0")
+    schema, rounds = delta.schema, 1
+    while new > 0 and (max_steps is None or rounds < max_steps):
         grown = delta.select("s", F.col("o").alias("__mid")).join(
             hops.select(F.col("s").alias("__mid"), F.col("o")), "__mid"
         ).select("s", "o").distinct()
         known = spark.read.schema(schema).parquet(*[f"{base}/round-{i}" for i in range(rounds)])
-        delta = write(grown.join(known, ["s", "o"], "left_anti"), f"round-{rounds}")
+        delta, new = write(grown.join(known, ["s", "o"], "left_anti"), f"round-{rounds}")
         rounds += 1
     found = spark.read.schema(schema).parquet(*[f"{base}/round-{i}" for i in range(rounds)])
     if min_steps == 0:

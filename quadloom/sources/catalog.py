@@ -116,12 +116,6 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
-def row_path() -> Column:
-    """The path of the file a row was read from, spelled as in the file listing."""
-    coded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return _bare(F.url_decode(coded))
-
-
 def discover_files(spark: SparkSession, sources: DataFrame, config_dir: str = "/") -> DataFrame:
     """Files of every source with their position in path order, folder by folder.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import LOOKUP_ROWS, lookup
 from ..terms import BLANK, IRI, LANG_STRING, LITERAL, XSD_STRING, term
 from . import workers
-from .catalog import row_path
+from .catalog import _bare
 from .identity import spread
 from .turtle import parse_turtle
 
@@ -35,23 +35,27 @@ def read_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``(source_idx, file_idx, line)`` of plain and compressed files.
 
     Spark's text source reads and splits everything but xz.  The file positions come from
-    a lookup on the path; very many files are taken in several bounded lookups.
+    a lookup on the file name Spark gives with each row; very many files are taken in
+    several bounded lookups.
     """
     parts, batch = [], []
 
     def flush():
-        table = lookup(spark, batch, "source_idx int, file_idx int, __path string")
-        paths = [r[2] for r in batch]
-        plain = [p for p in paths if not p.endswith(".xz")]
+        plain = {r[2]: r for r in batch if not r[2].endswith(".xz")}
         packed = [r for r in batch if r[2].endswith(".xz")]
         if plain:
-            text = spark.read.text(plain).select(F.col("value").alias("line"), row_path().alias("__path"))
-            parts.append(text.join(table, "__path").select("source_idx", "file_idx", "line"))
+            paths = list(plain)
+            # the reader's own spelling of each path, from file metadata only
+            listed = spark.read.format("binaryFile").load(paths).select(
+                _bare(F.col("path")).alias("path"), F.col("_metadata.file_path").alias("uri"))
+            rows = [(*plain[r["path"]][:2], r["uri"]) for r in listed.toLocalIterator()]
+            table = lookup(spark, rows, "source_idx int, file_idx int, __uri string")
+            text = spark.read.text(paths).select(
+                F.col("value").alias("line"), F.col("_metadata.file_path").alias("__uri"))
+            parts.append(text.join(table, "__uri").select("source_idx", "file_idx", "line"))
         if packed:
             rows = spark.createDataFrame(packed, "source_idx int, file_idx int, path string")
-            lines = spread(rows).select("path").mapInPandas(workers.xz_lines, "path string, line string")
-            named = lines.withColumnRenamed("path", "__path")
-            parts.append(named.join(table, "__path").select("source_idx", "file_idx", "line"))
+            parts.append(spread(rows).mapInPandas(workers.xz_lines, PARSED))
 
     for row in files.select("source_idx", "file_idx", "path").toLocalIterator():
         batch.append(tuple(row))
@@ -103,11 +107,14 @@ def _scoped(label: Column) -> Column:
 
 def _parsed(lines: DataFrame, line_regex: str, fields: int) -> DataFrame:
     """One match per line: the groups joined by a line feed, which no line can contain."""
-    kept = lines.filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    start = F.ltrim("line", F.lit(" \t\r"))
+    kept = lines.filter((start != "") & ~start.startswith("#"))
     if "scope" not in lines.columns:
         kept = kept.withColumn("scope", F.concat_ws("/", "source_idx", "file_idx"))
     template = "\n".join(f"${i}" for i in range(1, fields + 1))
-    return kept.withColumn("__f", F.split(F.regexp_replace("line", line_regex, template), "\n", -1))
+    parts = F.split(F.regexp_replace("line", line_regex, template), "\n", -1)
+    # explode of one element: filters on the parts stay above it, so the match runs once
+    return kept.select("*", F.explode(F.array(parts)).alias("__f"))
 
 
 def _quads(parsed: DataFrame, fields: int) -> DataFrame:

@@ -58,7 +58,7 @@ def xz_lines(batches):
     import pandas as pd
 
     def frame(row, lines):
-        return pd.DataFrame({"path": row.path, "line": lines})
+        return pd.DataFrame({"source_idx": row.source_idx, "file_idx": row.file_idx, "line": lines})
 
     for pdf in batches:
         for row in pdf.itertuples():

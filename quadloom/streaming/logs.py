@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import key_values
 from ..session import scratch_path
-from ..sources.catalog import row_path
 from ..sources.readers import read_nquads, read_ntriples
 from ..terms import QUADS
 
@@ -189,7 +188,7 @@ def stream_sources(spark: SparkSession, folder: str, path: str, checkpoint: str,
     path of their file.
     """
     lines = spark.readStream.text(folder).select(
-        F.col("value").alias("line"), row_path().alias("scope"),
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("scope"),
         F.lit(0).alias("source_idx"), F.lit(0).alias("file_idx"))
     quads = read_nquads(lines) if fmt == "nq" else read_ntriples(lines, graph)
 

@@ -78,10 +78,9 @@ def test_minus_needs_a_common_bound_variable(spark):
 def test_optional_forms_agree(two_tables):
     _, _, l, r = two_tables
     l, r = l.select("k", "a").filter("k IS NOT NULL"), r.select("k", "b")
-    usual = op.optional(l, r, bound=("k",))
-    assert plain(usual) == plain(op.optional(l, r, bound=("k",), hot_right=True))
+    assert plain(op.optional(l, r, bound=("k",), skew_safe=False)) == plain(op.optional(l, r, bound=("k",)))
     cond = F.col("b")["value"] < "r2"
-    assert plain(op.optional(l, r, cond, ("k",))) == plain(op.optional(l, r, cond, ("k",), hot_right=True))
+    assert plain(op.optional(l, r, cond, ("k",))) == plain(op.optional(l, r, cond, ("k",), skew_safe=True))
 
 
 def test_products_are_refused(spark):

@@ -303,13 +303,13 @@ def optional_with_filter(spark, sf):
     return values(b)
 
 
-@query("optional_hot_right", f"""
+@query("optional_outer_join", f"""
     SELECT s_name AS name, {iri('part', 'l_partkey')} AS part FROM supplier
     LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey""")
-def optional_hot_right(spark, sf):
+def optional_outer_join(spark, sf):
     g = one_graph(spark, sf, "supplier", "lineitem")
     b = op.optional(op.pattern(g, V("s"), ex("name"), V("name")), op.pattern(g, V("s"), ex("supplies"), V("part")),
-                    hot_right=True)
+                    skew_safe=False)
     return values(b, "name", "part")
 
 
