@@ -61,8 +61,11 @@ def pattern(graph: DataFrame, s: Node, p: Node, o: Node, g: Node | None = None)
     Constants become plain column filters that reach the Parquet scan; a variable used
     twice becomes an equality filter.
     """
+    # the object is rebuilt so that the schema knows it is never unbound: files only store
+    # nullable columns, and joins treat a variable that may be unbound with more care
+    o_term = F.struct(*[F.col("o")[f].alias(f) for f in TERM.names])
     makers = {
-        "s": subject_term(), "p": iri_term(F.col("p")), "o": F.col("o"), "g": iri_term(F.col("g")),
+        "s": subject_term(), "p": iri_term(F.col("p")), "o": o_term, "g": iri_term(F.col("g")),
     }
     conditions: list[Column] = []
     columns: dict[str, Column] = {}

@@ -126,7 +126,10 @@ def node_term(node) -> Column:
 
 
 def subject_term(s="s", s_kind="s_kind") -> Column:
-    return term(F.col(s_kind), F.col(s))
+    # the empty fields are written as nullable, like those of stored objects: equal struct
+    # types on both sides keep casts out of join keys, so shuffles can be shared
+    empty = F.when(F.col(s).isNotNull(), F.lit(""))
+    return term(F.col(s_kind), F.col(s), empty, empty)
 
 
 def value_of(name: str) -> Column:
