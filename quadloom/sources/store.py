@@ -37,7 +37,11 @@ def decision(spark: SparkSession, store: str, wanted_hash: str) -> str:
 
 def _write(quads: DataFrame, folder: str) -> None:
     """Range partitioned by source, predicate, subject and object: row groups can be skipped
-    by predicate, and a frequent predicate or a hub subject spans many files."""
+    by predicate, and a frequent predicate or a hub subject spans many files.
+
+    Range bounds come from a sample of the input.  ``load_quads`` removes duplicates first, and
+    the sample then reads the files of that shuffle instead of parsing the sources again.
+    """
     (quads.select(*QUADS.names)
      .repartitionByRange("source_idx", "p", "s", F.col("o")["value"])
      .sortWithinPartitions("source_idx", "p", "s")

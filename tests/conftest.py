@@ -22,6 +22,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_data_settings(request, spark):
+    """Hand-made inputs are tiny: compiling their plans would take most of the time.  The
+    registered queries keep compiled plans, as in use."""
+    compiled = request.module.__name__.endswith("test_oracle")
+    spark.conf.set("spark.sql.codegen.wholeStage", str(compiled).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "8" if compiled else "3")
+    yield
+
+
 @pytest.fixture(scope="session")
 def sf():
     return SF

@@ -16,7 +16,7 @@ V = Var
 
 
 def terms(spark, names, rows):
-    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).coalesce(1)
     return df.select(*[when_bound(F.col(n), iri_term(F.col(n))).alias(n) for n in names])
 
 
@@ -25,7 +25,7 @@ def plain(df):
 
 
 def graph_of(spark, triples):
-    df = spark.createDataFrame(triples, "s string, p string, v string")
+    df = spark.createDataFrame(triples, "s string, p string, v string").coalesce(1)
     return df.select("s", F.lit(1).cast("byte").alias("s_kind"), "p", iri_term(F.col("v")).alias("o"))
 
 
