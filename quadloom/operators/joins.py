@@ -65,11 +65,14 @@ def _unsure(left: DataFrame, right: DataFrame, shared: list[str], bound) -> list
             if c not in bound and (_nullable(left, c) or _nullable(right, c))]
 
 
-def product(left: DataFrame, right: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+def product(left: DataFrame, right: DataFrame, max_rows: int = 1) -> DataFrame:
     """Pairs of two unrelated tables, only when the right one is counted to be small.
 
-    The count is what bounds the broadcast; two large unrelated tables are refused.
+    The usual case is a one-row aggregate next to each solution, hence the default.  The
+    count bounds the broadcast; two large unrelated tables are refused.
     """
+    if max_rows > LOOKUP_ROWS:
+        raise ValueError(f"max_rows is at most {LOOKUP_ROWS}")
     n = right.limit(max_rows + 1).count()
     if n > max_rows:
         raise ValueError(f"product refused: the right side has more than {max_rows} rows")

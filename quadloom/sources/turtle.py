@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(tw)
 cloudpickle.register_pickle_by_value(workers)
 
 RANGE_BYTES = 64 << 20
+RANGES_PER_FILE = 50_000
 RANGE = 'source_idx int, file_idx int, path string, start bigint, end bigint'
 START = '{"base": "", "prefixes": {}}'
 
@@ -45,11 +46,13 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
     large = files.filter(~packed & (F.col("size") > range_bytes))
     ranges = single
     if not large.isEmpty():
-        starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
-        cut = large.select("source_idx", "file_idx", "path", F.explode(starts).alias("start"))
-        cut = cut.withColumn("end", F.col("start") + range_bytes)
+        step = F.greatest(F.lit(range_bytes).cast("long"), F.ceil(F.col("size") / RANGES_PER_FILE))
+        starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.col("step"))
+        cut = large.withColumn("step", step).select(
+            "source_idx", "file_idx", "path", F.explode(starts).alias("start"), "step")
+        cut = cut.select("source_idx", "file_idx", "path", "start", (F.col("start") + F.col("step")).alias("end"))
         tasks = min(cut.count(), 100_000)
-        # a file's rows here are one per range: bounded by size / range_bytes, not by content
+        # carried per file: one small row per range, and at most RANGES_PER_FILE of them
         states = _spread(cut, tasks).mapInPandas(
             tw.range_states, RANGE + ", from_n string, from_d string, from_s string"
         ).groupBy("path").applyInPandas(tw.carry_states, RANGE + ", state string")

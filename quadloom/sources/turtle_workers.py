@@ -138,22 +138,27 @@ class Tokens:
 
 
 # ---------------------------------------------------------------- what a range does to its successors
-def end_state(text: str, state: str) -> str:
-    tokens = Tokens(iter([(text, True)]), state)
+def end_state(source, state: str) -> str:
+    tokens = Tokens(source, state)
     for _ in tokens.run():
         pass
     return tokens.state
 
 
 def range_states(batches):
-    """State at the end of every range for each state it may start in."""
+    """State at the end of every range for each state it may start in.
+
+    A range without long quotes, the usual case, ends as it starts; only others are
+    read again token by token, once per possible start.
+    """
     for pdf in batches:
         out = {"N": [], "D": [], "S": []}
         for r in pdf.itertuples():
-            text = "".join(t for t, inside in _inside(blocks(r.path, r.start, r.end, True)))
-            plain = '"""' not in text and "'''" not in text
+            def text(row=r):
+                return _inside(blocks(row.path, row.start, row.end, True))
+            plain = all('"""' not in t and "'''" not in t for t, _ in text())
             for state, column in out.items():
-                column.append(state if plain else end_state(text, state))
+                column.append(state if plain else end_state(text(), state))
         yield pdf.assign(from_n=out["N"], from_d=out["D"], from_s=out["S"])
 
 

@@ -19,7 +19,8 @@ def open_raw(path: str):
         return open("/" + unquote(local.group(1)), "rb")
     if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", path):
         system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_stream(inner, compression=None)
+        # random access for byte ranges, buffered for line-wise reading
+        return io.BufferedReader(system.open_input_file(inner), 1 << 20)
     return open(path, "rb")
 
 

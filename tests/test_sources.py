@@ -265,6 +265,19 @@ def test_turtle_rejects(spark, tmp_path):
         parse_turtle(spark, files).collect()
 
 
+def test_ranges_of_a_file_behind_an_arrow_file_system(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from quadloom.sources import turtle_workers, workers
+
+    (tmp_path / "t.ttl").write_text(TURTLE)
+    opened = workers.io.BufferedReader(fs.LocalFileSystem().open_input_file(str(tmp_path / "t.ttl")), 64)
+    monkeypatch.setattr(turtle_workers, "open_raw", lambda path: opened)
+    text = "".join(t for t, inside in turtle_workers.blocks("any", 60, 200, True) if inside)
+    start = TURTLE.index("\n", 59) + 1
+    assert TURTLE[start:].startswith(text) and text.endswith("\n") and len(text) >= 140 - 60
+
+
 def test_packed_turtle(spark, tmp_path):
     (tmp_path / "t.ttl.xz").write_bytes(lzma.compress(TURTLE.encode()))
     (tmp_path / "t.ttl").write_text(TURTLE)
