@@ -3,9 +3,10 @@
 Texts are canonicalised: numbers, names and units become typed placeholders, punctuation is
 dropped and A-Z lower-cased, one word staying one word.  Windows of eight canonical words are
 hashed and joined with the windows of the benchmark; items shorter than that are one window.
-For the matching windows the words behind the placeholders are compared: a question with other
-numbers or names matches when equal slots of the item hold equal words in the document.  An item
-is found when at least half of its windows match in that way.
+For the matching windows the words behind the placeholders are compared: an occurrence with other
+numbers or names matches when, over all its windows, equal slots of the item hold equal words in
+the document and different ones different words.  An item is found when at least half of its
+windows match in that way, or word for word.
 
 Edge cases: NULL or empty texts have no windows; an item without words cannot be found; repeated
 windows and rows count once per item and document row; documents with equal ids are told apart
@@ -107,20 +108,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     plain = again.dropDuplicates(["doc_id", "text_id"]).select("doc_id", "text_id", p.alias("_p"))
     plain = plain.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), "_p")
     both = hits.join(plain, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text_id")))
-    both = both.select("doc_id", "text_id", "width", "h",
+    both = both.select("doc_id", "text_id", "width", "h", "at",
                        F.slice("_p", F.col("at") + 1, F.col("width")).alias("doc_plain"))
     matched = both.join(items, ["width", "h"])
     slots = _slots(F.col("window"), F.col("plain"), F.col("doc_plain"))
-    matched = matched.select("doc_id", "text_id", "item_id", "items", "h", slots.alias("slots"),
-                             (F.col("plain") == F.col("doc_plain")).alias("exact"))
-    # a window is consistent when no word of the item stands for two words of the document
-    one_way = F.size(F.array_distinct("slots"))
-    consistent = ((one_way == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))))
-                  & (one_way == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))))
-    good = matched.where(consistent)
+    # windows of one occurrence of an item lie at one distance from its start; all the slots of an
+    # occurrence must agree: no item word stands for two document words, nor the reverse
+    occurrence = matched.select(
+        "doc_id", "text_id", "item_id", "items", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"),
+        F.struct("h", (F.col("plain") == F.col("doc_plain")).alias("exact")).alias("hit")
+    ).groupBy("doc_id", "text_id", "item_id", "items", "shift").agg(
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.collect_set("hit").alias("hits"))
+    distinct = lambda part: F.size(F.array_distinct(F.transform("slots", lambda s: s[part])))
+    consistent = (F.size("slots") == distinct("a")) & (F.size("slots") == distinct("b"))
+    good = occurrence.select("doc_id", "text_id", "item_id", "items", F.explode(F.filter(
+        "hits", lambda x: x["exact"] | consistent)).alias("hit"))
     per = good.groupBy("doc_id", "text_id", "item_id").agg(
-        F.first("items").cast("bigint").alias("windows"), F.countDistinct("h").alias("matched"),
-        F.countDistinct(F.when(F.col("exact"), F.col("h"))).alias("exact"))
+        F.first("items").cast("bigint").alias("windows"), F.countDistinct("hit.h").alias("matched"),
+        F.countDistinct(F.when(F.col("hit.exact"), F.col("hit.h"))).alias("exact"))
     found = per.where(F.col("matched") >= share * F.col("windows"))
     return found.select("doc_id", "text_id", "item_id", "windows", "matched", "exact")
 

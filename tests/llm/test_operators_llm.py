@@ -286,7 +286,7 @@ def test_mix_reaches_targets(spark):
     size = got.set_index("doc_id")["size"]
     assert [size[i] for i in range(len(texts))] == [len((t or "").split()) for t in texts]
     assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] >= 0).all()
-    per = got.groupby(got["target"].round(6)).agg(taken=("taken", "sum"), target=("target", "first"))
+    per = got.groupby([got["target"].round(6), "source_size"]).agg(taken=("taken", "sum"), target=("target", "first"))
     assert (abs(per["taken"] - per["target"]) <= 1).all()
     again = mix(docs.repartition(5)).toPandas()
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, again.values.tolist()))
@@ -304,7 +304,7 @@ def test_decontamination(spark):
     fox = ITEMS[4]
     texts = ["intro words " + fox + " outro words", "we say: if Clara buys 7 apples for 9 dollars and gives Dora 7 of them, how many "
              "does Clara have left over today? thanks", "if Clara buys 7 apples for 9 dollars and gives Dora 8 of them, how many does "
-             "Eva have left over today? thanks", "a Tiny item, here.", "nothing to see in this one at all, really nothing",
+             "Eva have left over today? thanks", "a tiny item, here.", "nothing to see in this one at all, really nothing",
              None, "", fox.replace(" ", "%%% "), "the quick brown fox jumps over the lazy cat and then it sleeps all the day long"]
     found = {(r.doc_id, r.item_id) for r in leaks(table(spark, texts), bench).collect()}
     assert found == {(0, 4), (1, 0), (3, 1), (7, 4)}
