@@ -52,6 +52,12 @@ class Sequence:
             x = np.where(go, x >> np.uint64(step), x)
         return word * 64 + at
 
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for p, plane in enumerate(self.low):
+            out |= plane[at].astype(np.uint64) << np.uint64(8 * p)
+        return out
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of every value in the sequence, -1 where it is absent."""
         out = np.full(len(values), -1, np.int64)
@@ -61,16 +67,19 @@ class Sequence:
         high = (values >> np.uint64(8 * planes)).astype(np.int64) if planes < 8 else np.zeros(len(values), np.int64)
         end = self._zero(high) - high
         start = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - (high - 1), 0)
+        # values with equal high bits are sorted by their low bits: a binary search for all at once
+        want = values & np.uint64((1 << (8 * planes)) - 1)
+        last = end.copy()
         todo = np.flatnonzero(start < end)
         while len(todo):
-            at = start[todo]
-            same = np.ones(len(todo), bool)
-            for p in range(planes):
-                same &= self.low[p, at] == ((values[todo] >> np.uint64(8 * p)) & np.uint64(255))
-            out[todo[same]] = at[same]
-            todo = todo[~same]
-            start[todo] += 1
+            mid = (start[todo] + end[todo]) >> 1
+            less = self._low(mid) < want[todo]
+            start[todo] = np.where(less, mid + 1, start[todo])
+            end[todo] = np.where(less, end[todo], mid)
             todo = todo[start[todo] < end[todo]]
+        there = np.flatnonzero(start < last)
+        there = there[self._low(start[there]) == want[there]]
+        out[there] = start[there]
         return out
 
 
