@@ -110,18 +110,23 @@ def abs_(t) -> Column:
     return _term(Number(n.rank, F.abs(n.whole), F.abs(n.exact), F.abs(n.floating)))
 
 
+def _whole(d: Column, rounded) -> Column:
+    """A double rounded by way of a long; NaN, infinite and large values have no fraction."""
+    return F.when(F.abs(d) < 2.0 ** 53, rounded(d).cast("double")).otherwise(d)
+
+
 def ceil(t) -> Column:
-    return _same_type(t, F.ceil, lambda d: F.ceil(d).cast("double"))
+    return _same_type(t, F.ceil, lambda d: _whole(d, F.ceil))
 
 
 def floor(t) -> Column:
-    return _same_type(t, F.floor, lambda d: F.floor(d).cast("double"))
+    return _same_type(t, F.floor, lambda d: _whole(d, F.floor))
 
 
 def round_(t) -> Column:
     """Halves round up, also below zero."""
     return _same_type(t, lambda d: F.floor(d + F.lit("0.5").cast("decimal(2,1)")),
-                      lambda d: F.floor(d + 0.5).cast("double"))
+                      lambda d: _whole(d, lambda x: F.floor(x + 0.5)))
 
 
 def rand() -> Column:

@@ -10,7 +10,6 @@ from ..session import LOOKUP_ROWS, scratch_path
 from ..terms import order_key
 
 # --- fixed values ---
-ROW_CAP = 10_000
 PAGE_SIZE = 10_000
 # --- end of fixed values ---
 
@@ -58,7 +57,7 @@ def limit(bindings: DataFrame, k: int) -> DataFrame:
     return bindings.limit(k)
 
 
-def cap(bindings: DataFrame, user_limit: int | None = None, row_cap: int = ROW_CAP) -> DataFrame:
+def cap(bindings: DataFrame, row_cap: int, user_limit: int | None = None) -> DataFrame:
     """The service's hard row cap: the smaller of the caller's limit and the cap."""
     return bindings.limit(row_cap if user_limit is None else min(user_limit, row_cap))
 

@@ -19,6 +19,10 @@ from ..terms import RDF_TYPE, Iri, iri_term, node_term, subject_term
 
 # --- fixed values ---
 ALL_ATTRIBUTES_QUERY = "databaseinfo__all_attributes"
+#: A count in braces or a repetition sign at the end of a key.
+MODEL_MARKS = re.compile(r"[+*?]?(\{[^}]+\})?$")
+#: <iri>, http(s) IRI, or prefix:local; a literal or a blank node is none of them.
+IRI_FORMS = re.compile(r"<(?P<bracketed>.*)>|(?P<plain>https?://.*)|(?P<prefix>[^\"':\[][^:]*|):(?P<local>.*)", re.S)
 # --- end of fixed values ---
 
 SPEC = ("config string, subject string, class_iri string, attribute string, "
@@ -36,52 +40,35 @@ class Attribute:
 
 
 # ---------------------------------------------------------------- written model
-def clean_key(key) -> str:
-    bare = re.sub(r"\{[^}]+\}$", "", str(key).strip())
-    return re.sub(r"[+*?]$", "", bare)
+BLANK, CLASS_KEY = "[]", "a"
 
 
-def full_iri(written, prefixes: dict) -> str | None:
-    """The IRI of a written term; None for literals, blank nodes and unknown prefixes."""
-    word = str(written).strip()
-    if not word or word == "[]" or word[0] in "\"'":
+def key_paths(node, above: tuple = ()):
+    """Every (keys from the top, value) pair of a nested value; lists add no key."""
+    for item in node if isinstance(node, list) else [node]:
+        for key, value in item.items() if isinstance(item, dict) else ():
+            here = (*above, MODEL_MARKS.sub("", str(key).strip()))
+            yield here, value
+            yield from key_paths(value, here)
+
+
+def expanded(word: str, prefixes: dict) -> str | None:
+    """The IRI a word of a model stands for: written out, in brackets, or with a known prefix."""
+    m = IRI_FORMS.fullmatch(word.strip())
+    if m is None:
         return None
-    if word.startswith("<") and word.endswith(">"):
-        return word[1:-1]
-    if word.startswith(("http://", "https://")):
-        return word
-    name, colon, local = word.partition(":")
-    namespace = prefixes.get(f"{name}:", prefixes.get(name)) if colon else None
-    return None if namespace is None else str(namespace).removeprefix("<").removesuffix(">") + local
-
-
-def _leaves(node, path: tuple, prefixes: dict):
-    """``(attribute, predicate path, example)`` below a node; ``[]`` levels add no step."""
-    if isinstance(node, list):
-        for item in node:
-            yield from _leaves(item, path, prefixes)
-    elif isinstance(node, dict):
-        for key, below in node.items():
-            name = clean_key(key)
-            if name == "a":
-                continue
-            if name and name != "[]" and ":" not in name:
-                if path:
-                    yield name, path, below
-            elif name == "[]":
-                yield from _leaves(below, path, prefixes)
-            elif (step := full_iri(name, prefixes)) is not None:
-                yield from _leaves(below, (*path, step), prefixes)
-
-
-def _classes(blocks: list, prefixes: dict) -> set[str]:
-    found = set()
-    for block in blocks:
-        for key, named in block.items() if isinstance(block, dict) else ():
-            if clean_key(key) == "a":
-                names = named if isinstance(named, list) else re.split(r"\s*,\s*", str(named))
-                found |= {iri for n in names if (iri := full_iri(n, prefixes))}
-    return found
+    if m["local"] is None:
+        return m["bracketed"] or m["plain"]
+    space = prefixes.get(m["prefix"] + ":", prefixes.get(m["prefix"]))
+    return None if space is None else str(space).strip("<>") + m["local"]
+
+
+def _attribute(keys: tuple, prefixes: dict) -> tuple[str, tuple] | None:
+    """(name, predicates) when the last key names an attribute and all before it are predicates."""
+    name, steps = keys[-1], [k for k in keys[:-1] if k != BLANK]
+    iris = tuple(expanded(k, prefixes) if ":" in k else None for k in steps)
+    named = name not in ("", BLANK, CLASS_KEY) and ":" not in name
+    return (name, iris) if named and iris and None not in iris else None
 
 
 def flatten_model(model, prefixes: dict, config: str = "model") -> list[Attribute]:
@@ -91,30 +78,27 @@ def flatten_model(model, prefixes: dict, config: str = "model") -> list[Attribut
     same name replaces an earlier one.  An attribute whose example names a subject of the
     model refers to it.
     """
-    subjects: dict[str, tuple[str, dict]] = {}
-    names = set()
-    for entry in model if isinstance(model, list) else []:
-        for key, blocks in entry.items() if isinstance(entry, dict) else ():
-            words = str(key).split()
-            if not words or not isinstance(blocks, list):
-                continue
-            names.add(words[0])
-            classes = _classes(blocks, prefixes)
-            attributes: dict[str, dict] = {}
-            for name, path, example in _leaves(blocks, (), prefixes):
-                known = attributes.setdefault(name, {"paths": [], "example": example})
-                if path not in known["paths"]:
-                    known["paths"].append(path)
-            if classes and attributes:
-                subjects[words[0]] = (min(classes), attributes)
-    out = []
-    for subject, (class_iri, attributes) in subjects.items():
-        for name in sorted(attributes):
-            example = attributes[name]["example"]
-            ref = example.split()[0] if isinstance(example, str) and example.split() else None
-            out.append(Attribute(config, subject, class_iri, name,
-                                 tuple(attributes[name]["paths"]), ref if ref in names else None))
-    return out
+    entries = [(str(key).split()[0], blocks) for entry in (model if isinstance(model, list) else [])
+               if isinstance(entry, dict) for key, blocks in entry.items()
+               if str(key).split() and isinstance(blocks, list)]
+    subjects = {name for name, _ in entries}
+    kept: dict[str, list[Attribute]] = {}
+    for subject, blocks in entries:
+        rows = list(key_paths(blocks))
+        classes = {iri for keys, value in rows if keys == (CLASS_KEY,)
+                   for word in (value if isinstance(value, list) else str(value).split(","))
+                   if (iri := expanded(str(word), prefixes))}
+        found: dict[str, dict] = {}
+        for keys, value in rows:
+            if hit := _attribute(keys, prefixes):
+                found.setdefault(hit[0], {"example": value, "paths": {}})["paths"][hit[1]] = None
+        if classes and found:
+            kept[subject] = [
+                Attribute(config, subject, min(classes), name, tuple(got["paths"]),
+                          next((w for w in str(got["example"]).split()[:1]
+                                if isinstance(got["example"], str) and w in subjects), None))
+                for name, got in sorted(found.items())]
+    return [a for rows in kept.values() for a in rows]
 
 
 def model_spec(spark: SparkSession, spec: list[Attribute]) -> DataFrame:

@@ -29,11 +29,11 @@ class CatalogError(ValueError):
 def source_catalog(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """The sources in the order written; unknown keys and an empty list are errors."""
     if not entries:
-        raise CatalogError("no sources found in the catalog")
+        raise CatalogError("the catalog lists no source")
     for i, entry in enumerate(entries):
         unknown = sorted(set(entry) - set(SOURCE_KEYS))
         if unknown:
-            raise CatalogError(f"source #{i} has unknown keys: {', '.join(unknown)}")
+            raise CatalogError(f"source #{i}: keys not known: {', '.join(unknown)}")
     rows = [(i, *(entry.get(k) for k in SOURCE_KEYS)) for i, entry in enumerate(entries)]
     return spark.createDataFrame(rows, SOURCES)
 
@@ -49,10 +49,10 @@ def validate_sources(sources: DataFrame) -> DataFrame:
     fmt = normalize_format(F.col("format"))
     where = F.concat(F.lit("source #"), F.col("source_idx").cast("string"))
     error = (
-        F.when(fmt.isNull(), F.concat(where, F.lit(" format supports only nt, ttl, and nq")))
+        F.when(fmt.isNull(), F.concat(where, F.lit(": unknown format (known: nq, nt, ttl)")))
         .when((fmt == "nq") & F.col("graph").isNotNull(),
-              F.concat(where, F.lit(" must not specify graph when format is nq")))
-        .when(F.col("path").isNull(), F.concat(F.lit("missing path for "), where))
+              F.concat(where, F.lit(": nq lines name their own graphs, so leave graph out")))
+        .when(F.col("path").isNull(), F.concat(where, F.lit(": no path given")))
     )
     return sources.select("source_idx", error.alias("error")).filter(F.col("error").isNotNull())
 
@@ -138,14 +138,14 @@ def discover_files(spark: SparkSession, sources: DataFrame, config_dir: str = "/
         except Exception as error:  # the reader reports a missing folder as an analysis error
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            raise CatalogError(f"source not found for source #{idx}: {pattern}") from None
+            raise CatalogError(f"source #{idx}: nothing exists at {pattern}") from None
         plain = F.col("path")
         matched = found.filter(plain.rlike(regex))
         if matched.isEmpty():
             folder = regex[:-1] + "/.*$"
             if found.filter(plain.rlike(folder)).isEmpty():
-                raise CatalogError(f"source not found for source #{idx}: {pattern}")
-            raise CatalogError(f"source does not match any files for source #{idx}: {pattern}")
+                raise CatalogError(f"source #{idx}: nothing exists at {pattern}")
+            raise CatalogError(f"source #{idx}: no file fits {pattern}")
         listings.append(matched.withColumn("__parts", F.split(plain, "/")))
     files = reduce(lambda a, b: a.unionByName(b), listings)
     numbered = row_index(files, ["source_idx", "__parts"], unique_rows=True, out="__at")

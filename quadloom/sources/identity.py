@@ -76,7 +76,9 @@ def changed_files(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def refresh_manifest(files: DataFrame, sources: DataFrame, old: DataFrame) -> DataFrame:
     """The new manifest, hashing only files whose size or time changed."""
-    kept = files.join(old.select("path", "size", "mtime", "sha256"), ["path", "size", "mtime"])
+    # one row for each file, though it may stand under several sources
+    seen = old.select("path", "size", "mtime", "sha256").dropDuplicates(["path", "size", "mtime"])
+    kept = files.join(seen, ["path", "size", "mtime"])
     fresh = changed_files(files, old)
     hashed = fresh.join(
         content_hash(files.sparkSession, fresh).select("source_idx", "file_idx", "sha256"),

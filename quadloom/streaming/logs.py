@@ -93,7 +93,8 @@ def restart_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("service").agg(
         F.count(F.when(is_exit, 1)).alias("exits"),
         F.count(F.when(is_exit & (F.col("runtime_ms") < FAST_FAILURE_MS), 1)).alias("fast_failures"),
-        F.max_by(F.when(is_exit, F.col("code")), F.when(is_exit, F.col("at"))).alias("last_code"),
+        # of exits at one time the longer run, then the greater code, counts as the last
+        F.max_by(F.when(is_exit, F.col("code")), F.when(is_exit, F.struct("at", "runtime_ms", "code"))).alias("last_code"),
         F.sum(runtime).alias("total_runtime_ms"), F.avg(runtime).alias("mean_runtime_ms"))
 
 

@@ -108,3 +108,15 @@ def test_names(spark):
         fn.key_values(F.lit("service=a event=exit code=1 error=no such file restart_in_ms=1000"))).first()
     assert tuple(row[:7]) == ("my_table_v2", "query", "query", "a-b_c", "ex:knows", "ex:k", "x+")
     assert row[7] == {"service": "a", "event": "exit", "code": "1", "error": "no such file", "restart_in_ms": "1000"}
+
+
+def test_rounding_beyond_long(spark):
+    """Doubles without a fraction stay as they are: large values, NaN and infinity."""
+    from quadloom.functions import numbers as N
+    from quadloom.terms import XSD_DOUBLE, literal_term
+
+    rows = spark.createDataFrame([("1e300",), ("NaN",), ("-INF",), ("-2.5",)], "x string")
+    term = literal_term(F.col("x"), F.lit(XSD_DOUBLE))
+    got = rows.select(*[f(term)["value"].cast("double").alias(n) for n, f in (
+        ("c", N.ceil), ("f", N.floor), ("r", N.round_))]).collect()
+    assert got[0] == (1e300, 1e300, 1e300) and str(got[1].f) == "nan" and got[3] == (-2.0, -3.0, -2.0)

@@ -130,9 +130,9 @@ def catalog_formats(spark, sf):
 
 
 @query("catalog_errors", """
-    SELECT c_custkey AS source_idx, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'source #' || c_custkey || ' format supports only nt, ttl, and nq'
-      WHEN c_mktsegment = 'MACHINERY' AND c_nationkey > 5 THEN 'source #' || c_custkey || ' must not specify graph when format is nq'
-      ELSE 'missing path for source #' || c_custkey END AS error
+    SELECT c_custkey AS source_idx, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'source #' || c_custkey || ': unknown format (known: nq, nt, ttl)'
+      WHEN c_mktsegment = 'MACHINERY' AND c_nationkey > 5 THEN 'source #' || c_custkey || ': nq lines name their own graphs, so leave graph out'
+      ELSE 'source #' || c_custkey || ': no path given' END AS error
     FROM customer WHERE c_mktsegment = 'AUTOMOBILE' OR (c_mktsegment = 'MACHINERY' AND c_nationkey > 5) OR c_acctbal < 0""")
 def catalog_errors(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")

@@ -364,7 +364,7 @@ def slice_customers(spark, sf):
 @query("capped_orders", f"SELECT {ORD} AS o FROM orders ORDER BY o LIMIT 10000")
 def capped_orders(spark, sf):
     b = op.pattern(one_graph(spark, sf, "orders"), V("o"), ex("status"), V("status")).select("o")
-    return values(op.cap(op.order(b, "o"), 1_000_000))
+    return values(op.cap(op.order(b, "o"), 10_000, 1_000_000))
 
 
 @query("pages_of_orders", f"""
