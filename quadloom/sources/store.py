@@ -41,11 +41,13 @@ def _write(quads: DataFrame, folder: str) -> None:
 
     Range bounds come from a sample of the input.  ``load_quads`` removes duplicates first, and
     the sample then reads the files of that shuffle instead of parsing the sources again.
+
+    The load is not committed yet, so what a load that died left in the folder is overwritten.
     """
     (quads.select(*QUADS.names)
      .repartitionByRange("source_idx", "p", "s", F.col("o")["value"])
      .sortWithinPartitions("source_idx", "p", "s")
-     .write.partitionBy("source_idx").parquet(folder))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("source_idx").parquet(folder))
 
 
 def _commit(spark: SparkSession, store: str, load_id: int, stamp: str, parts: list) -> None:

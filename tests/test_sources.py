@@ -286,6 +286,17 @@ def test_packed_turtle(spark, tmp_path):
 
 
 # ---------------------------------------------------------------- store
+def test_load_overwrites_what_a_dead_load_left(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("<http://a/1> <http://p> <http://o> .\n")
+    manifest, _ = load(spark, tmp_path, [{"path": "a.nt", "format": "nt", "graph": "http://g"}])
+    place = str(tmp_path / "store")
+    left = tmp_path / "store" / "data" / "load=1" / "source_idx=0"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"unfinished")
+    assert store.load_quads(spark, manifest, place) == "build"
+    assert [r.s for r in store.read_store(spark, place).collect()] == ["http://a/1"]
+
+
 def test_refresh_equals_full_reload(spark, tmp_path):
     for name, n in (("a", 3), ("b", 2)):
         (tmp_path / f"{name}.nt").write_text("".join(f"<http://{name}/{i}> <http://p> _:x .\n" for i in range(n)))
