@@ -72,7 +72,13 @@ def reload_quads(quads: DataFrame, store: str, stamp: str = "") -> int:
     return load_id
 
 
+def _per_source(quads: DataFrame) -> DataFrame:
+    """Each source keeps its own copy of a quad, so it can be loaded anew alone."""
+    return quads.dropDuplicates(["source_idx", "g", "s", "s_kind", "p", "o"])
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The set of quads of the current state; copies in several sources count once."""
     last = current_load(spark, store)
     if last is None:
         raise ValueError(f"no finished load in {store}")
@@ -80,7 +86,8 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], QUADS)
     table = spark.read.option("basePath", f"{store}/data").schema(QUADS).parquet(*folders)
-    return table.select(*QUADS.names)
+    table = table.select(*QUADS.names)
+    return distinct_quads(table) if len(folders) > 1 else table
 
 
 def load_quads(spark: SparkSession, manifest: DataFrame, store: str) -> str:
@@ -88,7 +95,7 @@ def load_quads(spark: SparkSession, manifest: DataFrame, store: str) -> str:
     wanted = input_hash(manifest)
     choice = decision(spark, store, wanted)
     if choice != "keep":
-        reload_quads(distinct_quads(read_quads(spark, manifest)), store, wanted)
+        reload_quads(_per_source(read_quads(spark, manifest)), store, wanted)
     return choice
 
 
@@ -124,7 +131,7 @@ def refresh_quads(spark: SparkSession, old: DataFrame, new: DataFrame, store: st
     if redo:
         files = new.filter(F.col("source_idx").isin(redo))
         folder = f"{store}/data/load={load_id}"
-        _write(distinct_quads(read_quads(spark, files)), folder)
+        _write(_per_source(read_quads(spark, files)), folder)
         written = _sources(spark.read.option("basePath", folder).schema(QUADS).parquet(folder))
         parts = sorted(kept + [(k, load_id) for k in written])
     _commit(spark, store, load_id, input_hash(new), parts)

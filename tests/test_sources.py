@@ -297,6 +297,21 @@ def test_load_overwrites_what_a_dead_load_left(spark, tmp_path):
     assert [r.s for r in store.read_store(spark, place).collect()] == ["http://a/1"]
 
 
+def test_refresh_keeps_quads_of_another_source(spark, tmp_path):
+    line = "<http://s/{0}> <http://p> <http://o> <http://g> .\n"
+    for name in "ab":
+        (tmp_path / f"{name}.nq").write_text("".join(line.format(i) for i in range(4)) + line.format(name))
+    entries = [{"path": f"{n}.nq", "format": "nq"} for n in "ab"]
+    first, _ = load(spark, tmp_path, entries)
+    place = str(tmp_path / "store")
+    store.load_quads(spark, first, place)
+    assert store.read_store(spark, place).count() == 6
+    (tmp_path / "a.nq").write_text(line.format("a"))
+    second, _ = load(spark, tmp_path, entries)
+    assert store.refresh_quads(spark, first, second, place) == [0]
+    assert store.read_store(spark, place).count() == 6
+
+
 def test_refresh_equals_full_reload(spark, tmp_path):
     for name, n in (("a", 3), ("b", 2)):
         (tmp_path / f"{name}.nt").write_text("".join(f"<http://{name}/{i}> <http://p> _:x .\n" for i in range(n)))
