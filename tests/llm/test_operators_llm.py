@@ -14,7 +14,7 @@ from oracle import compare, connect
 from quadloom.llm import op3_pii, op9_secrets
 from quadloom.llm.common import materialise
 from quadloom.llm.elias_fano import Sequence, encode
-from quadloom.llm.op2_jaccard_join import keep_one, near_duplicates, prefix
+from quadloom.llm.op2_jaccard_join import bitmap, index_part, keep_one, near_duplicates, prefix
 from quadloom.llm.op4_warc import decode_block, read_archives, write_archives
 from quadloom.llm.op5_mixing import mix, water_levels
 from quadloom.llm.op6_decontamination import leaks, without_leaks
@@ -125,7 +125,26 @@ def test_adaptive_prefix_is_lossless():
         both = len(np.intersect1d(x, y))
         if 100 * both >= 75 * (len(x) + len(y) - both):
             (p, lx), (q, ly) = prefix(x, heavy, counts), prefix(y, heavy, counts)
-            assert len(np.intersect1d(p, q)) >= min(lx, ly)
+            step = min(lx, ly)
+            assert len(np.intersect1d(p, q)) >= step
+            small = p[:index_part(len(x), lx)] if len(x) <= len(y) else q[:index_part(len(y), ly)]
+            assert len(np.intersect1d(small, q if len(x) <= len(y) else p)) >= step
+            apart = sum(int(v).bit_count() for v in (bitmap(x) ^ bitmap(y)).view("<u8"))
+            assert apart <= len(x) + len(y) - 2 * both and 7 * apart <= len(x) + len(y)
+
+
+def test_jaccard_join_on_edited_copies(spark):
+    """Copies of one text with growing edits: chains of links near the border of similarity."""
+    rng = np.random.default_rng(11)
+    base = rng_text(rng, 80).split()
+    texts = []
+    for k in range(90):
+        own = list(base)
+        for at in rng.choice(80, k % 6, replace=False):
+            own[at] = f"edit{rng.integers(0, 1000)}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(90)] == brute_components(shingle_sets(texts))
 
 
 def test_packed_blocks_round_trip():
