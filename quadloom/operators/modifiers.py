@@ -133,9 +133,14 @@ def paginate(bindings: DataFrame, keys: list, page_size: int = PAGE_SIZE,
 
 
 def slice_rows(bindings: DataFrame, keys: list, offset: int, count: int) -> DataFrame:
-    """ORDER BY + OFFSET + LIMIT; a deep offset goes through the distributed row index."""
+    """ORDER BY + OFFSET + LIMIT; a deep offset goes through the distributed row index.
+
+    Equal keys are ordered by the remaining columns at every offset, so slices fit together.
+    """
     if offset + count <= SHALLOW_OFFSET:
-        return order(bindings, *keys).limit(offset + count).offset(offset)
+        named = [k.name if isinstance(k, desc) else k for k in keys]
+        rest = [c for c in bindings.columns if c not in named]
+        return order(bindings, *keys, *rest).limit(offset + count).offset(offset)
     indexed = row_index(bindings, keys, out="__idx")
     wanted = indexed.filter(F.col("__idx").between(offset, offset + count - 1))
     return wanted.orderBy("__idx").drop("__idx")

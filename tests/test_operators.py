@@ -213,3 +213,12 @@ def capture_explain(df):
     with contextlib.redirect_stdout(out):
         df.explain("formatted")
     return out.getvalue()
+
+
+def test_slices_order_ties_alike_at_every_offset(spark, monkeypatch):
+    from quadloom.operators import modifiers
+    rows = spark.createDataFrame([(k % 2, v) for k, v in enumerate([5, 3, 9, 1, 7, 1])], "k int, v int")
+    shallow = [modifiers.slice_rows(rows, ["k"], at, 2).collect() for at in (0, 2, 4)]
+    monkeypatch.setattr(modifiers, "SHALLOW_OFFSET", 0)
+    deep = [modifiers.slice_rows(rows, ["k"], at, 2).collect() for at in (0, 2, 4)]
+    assert shallow == deep == [[(0, 5), (0, 7)], [(0, 9), (1, 1)], [(1, 1), (1, 3)]]
