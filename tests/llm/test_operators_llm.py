@@ -361,6 +361,19 @@ def test_repeated_passages(spark, texts):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_keep_links_the_leader_does_not_have(spark):
+    """A-B and B-C are similar, A-C is not, and A leads: C has no partner but B."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(30):
+        first = [f"u{rng.integers(10 ** 9)}" for _ in range(60)]
+        second = [*first[:20], "edit", *first[21:]]
+        third = [*second[:40], "other", *second[41:]]
+        texts += [" ".join(x) for x in (first, second, third)]
+    pairs = {tuple(sorted((r.a, r.b))) for r in repeated_passages(table(spark, texts), hashes=12).collect()}
+    assert pairs == {p for i in range(0, 90, 3) for p in ((i, i + 1), (i + 1, i + 2))}
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 def brute_counts(t):
