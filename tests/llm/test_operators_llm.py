@@ -18,7 +18,7 @@ from quadloom.llm.op2_jaccard_join import bitmap, index_part, keep_one, near_dup
 from quadloom.llm.op4_warc import decode_block, read_archives, write_archives
 from quadloom.llm.op5_mixing import mix, water_levels
 from quadloom.llm.op6_decontamination import leaks, without_leaks
-from quadloom.llm.op7_substring_dedup import compact_windows, passages_by_document, repeated_passages
+from quadloom.llm.op7_substring_dedup import compact_windows, matching_passages, passages_by_document, repeated_passages
 from quadloom.llm.op8_quality import keep_good, quality_digest
 from quadloom.llm.op10_lm_scoring import lm_scores
 from quadloom.llm.packed import pack, unpack
@@ -374,6 +374,22 @@ def test_passages_keep_links_the_leader_does_not_have(spark):
     assert pairs == {p for i in range(0, 90, 3) for p in ((i, i + 1), (i + 1, i + 2))}
 
 
+def test_passages_are_joined_across_longer_gaps():
+    """Four replaced words in the middle of 95 leave 83 of 99 shingles, but no half is long enough."""
+    rng = np.random.default_rng(6)
+    make = lambda n: rng.integers(1, 2 ** 63, n).astype(np.uint64)
+    for drop, width in ((45, 8), (45, 12), (20, 9), (70, 10)):
+        body, x, y = make(91), make(40), make(70)
+        own = np.concatenate([body[:drop], make(width - 3), body[drop + width:]])
+        a, b = np.concatenate([x, body, make(30)]), np.concatenate([y, own, make(90)])
+        for at in (5, 85):
+            spot = at if at < drop else at + len(own) - len(body)
+            got = matching_passages(a, b, [(40 + at, 70 + spot)])
+            assert got == [(40, 131, 70, 70 + len(own))]
+    far = np.concatenate([body[:45], make(40), body[45:]])
+    assert [p[2:] for p in matching_passages(body, far, [(5, 5), (80, 120)])] == [(85, 131)]
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 def brute_counts(t):
