@@ -127,6 +127,8 @@ def _members(urls: DataFrame, key_array: Column, listed: DataFrame, name: str,
     cascade = build_cascade(universe, max_words)
     if cascade is not None:
         return urls.withColumn(name, F.filter(key_array, cascade.contains))
+    if "row" not in urls.columns:  # the join form needs a name for each row, fixed between reads
+        urls = materialise(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
     hits = (urls.select("row", F.explode(key_array).alias("key"))
             .join(universe.where("listed"), "key", "left_semi")
             .groupBy("row").agg(F.collect_set("key").alias(name)))  # a row's own keys only
@@ -135,7 +137,7 @@ def _members(urls: DataFrame, key_array: Column, listed: DataFrame, name: str,
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: DataFrame,
-               max_words: int = MAX_WORDS) -> DataFrame:
+               max_words: int | None = None) -> DataFrame:
     """Verdict for every row of ``pages(page_id, url)``.
 
     ``rules`` are (allow|block, host, path); the longest that fits wins and its text is in
@@ -143,10 +145,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_host
     ``blocked_hosts(host)``.  Returns page_id, host, path, rule, verdict, listed_host.
     """
     spark = pages.sparkSession
+    max_words = MAX_WORDS if max_words is None else max_words
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    if max_words < MAX_WORDS:  # the join form needs a name for each row
-        urls = materialise(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
     depth = max([r[1].count(".") + 1 for r in rules], default=1)
     lengths = sorted({len(r[2]) for r in rules})
     found = urls

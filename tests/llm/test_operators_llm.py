@@ -182,6 +182,17 @@ def test_url_filter_edges(spark):
     assert judge_urls(pages.limit(0), URL_RULES, listed.limit(0)).count() == 0
 
 
+def test_url_filter_joins_at_the_default_when_the_list_is_too_large(spark, monkeypatch):
+    from quadloom.llm import op1_url_filter
+    from quadloom.llm.queries import URL_RULES
+
+    pages = spark.createDataFrame([(1, "http://bad.net/x"), (1, "http://a.com/de/"), (2, "http://good.net/")], "page_id int, url string")
+    listed = spark.createDataFrame([("bad.net",)], "host string")
+    monkeypatch.setattr(op1_url_filter, "MAX_WORDS", 0)
+    got = op1_url_filter.judge_urls(pages, URL_RULES, listed).collect()
+    assert sorted((r.host, r.verdict) for r in got) == [("a.com", "block"), ("bad.net", "block"), ("good.net", "allow")]
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é<p>" * 400
     rows = [(1, "http://a/1 x\r\ny", long), (5, "http://a/5", long), (3, None, long), (7, "u", None), (8, "u", "short"),
