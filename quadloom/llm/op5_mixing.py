@@ -3,7 +3,7 @@
 Golden-ratio points are mapped through the cumulative target weights of the sources, so every
 prefix of the schedule is close to the target mix.  The slots of a source are ranked, and the
 rank picks a block of its shuffled documents laid end to end, block after block and then round
-again.  Blocks of a source have equal token counts (they differ by one at most).  The last slot
+again.  Slots that the points leave a source short of follow after the schedule.  Blocks of a source have equal token counts (they differ by one at most).  The last slot
 of a source is trimmed, so what is taken equals the target rounded to a word.
 
 Order inside a source is by hash, and every running count is done in two steps (within hash or
@@ -107,6 +107,17 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     return running(hit, ["sid"], "range", ["id"], F.lit(1), "rank").select("sid", "rank")
 
 
+def with_missing_ranks(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """``ranked(sid, rank)`` and, after them, the ranks that the common schedule leaves a source
+    of ``plan(sid, need)`` short of.  A slot is added for the rounding of targets and blocks."""
+    have = ranked.groupBy("sid").agg(F.count("*").alias("have"))
+    short = plan.join(have, "sid", "left").select(
+        "sid", F.coalesce("have", F.lit(0)).cast("bigint").alias("first"),
+        F.when(F.col("need") > 0, F.ceil("need")).otherwise(F.lit(-1)).cast("bigint").alias("last"))
+    return ranked.unionByName(short.where("first <= last").select(
+        "sid", F.explode(F.sequence("first", "last")).alias("rank")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
     sized = materialise(sizes(docs), "sizes")
@@ -126,7 +137,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 1024) -> D
     needed, count = total.n or 0.0, total.k
     # points of an interval differ from its share by a few times the logarithm at most
     slots = math.ceil(needed) + count * (3 * math.ceil(math.log2(needed + 2)) + 8) if needed else 0
-    ranked = schedule(plan, slots)
+    ranked = with_missing_ranks(materialise(schedule(plan, slots), "schedule"), plan)
     info = plan.select("sid", "source_size", "target", "blocks")
     uses = ranked.join(info, "sid").where("source_size > 0").withColumn(
         "block", F.col("rank") % F.col("blocks"))

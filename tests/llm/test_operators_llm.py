@@ -323,6 +323,23 @@ def test_mix_reaches_targets(spark):
     assert mix(docs.limit(0)).count() == 0 and mix(docs.where("text IS NULL")).first().taken == 0
 
 
+def test_small_sources_get_their_slots(spark):
+    """One-block sources at three times their size, at many places of the schedule."""
+    from quadloom.llm.op5_mixing import schedule, with_missing_ranks
+
+    slots, rows, at = 20_000, [], 0.0
+    for sid in range(400):
+        need = 3.0 if sid % 2 else 96.0
+        rows.append((sid, need, at, at + need / 19_800))
+        at = rows[-1][3]
+    plan = spark.createDataFrame(rows, "sid int, need double, low double, high double")
+    got = defaultdict(list)
+    for r in with_missing_ranks(schedule(plan, slots), plan).collect():
+        got[r.sid].append(r.rank)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    assert all(len(got[sid]) >= need for sid, need, _, _ in rows)
+
+
 # ---- decontamination ----------------------------------------------------------------------
 
 ITEMS = ["If Anna buys 12 apples for 3 dollars and gives Ben 12 of them, how many does Anna have left over today?",
