@@ -31,9 +31,10 @@ from .common import LOWER, UPPER, map_arrow, materialise, mixed, utf8
 from .packed import pack, unpack
 
 LONGEST = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20  # of text for each hash range; its fingerprints take about five times as much
 BASE = 0x9E3779B97F4A7C15 | 1
+BITS = 48  # of a fingerprint that travel; equal ones of different phrases only cost a second look
 
 # The characters that end a piece.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -107,7 +108,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def fingerprints(ids: np.ndarray, piece: np.ndarray, words: list[bytes], lang: str):
-    """For each length the positions of all runs inside a piece and their 64-bit fingerprints."""
+    """For each length the positions of all runs inside a piece and their fingerprints."""
     digest = xxhash.xxh3_64_intdigest
     symbol = np.fromiter(map(digest, words), np.uint64, len(words))[ids]
     # prefix[i] = sum of symbol[j] * BASE^j for j < i, modulo 2^64; an odd base has an inverse there
@@ -117,7 +118,7 @@ def fingerprints(ids: np.ndarray, piece: np.ndarray, words: list[bytes], lang: s
         m = max(len(ids) - n + 1, 0)
         at = np.flatnonzero(piece[n - 1:] == piece[:m])
         seed = np.uint64(digest(f"{n} {lang}".encode()))
-        yield n, at, mixed((prefix[at + n] - prefix[at]) * back[at] + seed)
+        yield n, at, mixed((prefix[at + n] - prefix[at]) * back[at] + seed) >> np.uint64(64 - BITS)
 
 
 def _distinct(text: bytes, lang: str) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def _distinct(text: bytes, lang: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partial(batches, buckets: int, least: int):
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    edges = np.array([(k << BITS) // buckets for k in range(1, buckets)], np.uint64)
     for batch in batches:
         for block, lang, text in zip(*(batch.column(c) for c in ("block", "lang", "text"))):
             keys, counts = _distinct(text.as_py(), lang.as_py())

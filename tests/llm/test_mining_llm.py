@@ -76,7 +76,7 @@ def test_collocations_equal_brute_force(spark, rows, size, top):
 
 def test_phrases_of_one_fingerprint_are_told_apart(spark, rows, monkeypatch):
     """With fingerprints of 9 bits nearly all collide; the counts still come from the words."""
-    monkeypatch.setattr(mining, "mixed", lambda x: x & np.uint64(511))
+    monkeypatch.setattr(mining, "mixed", lambda x: (x & np.uint64(511)) << np.uint64(64 - mining.BITS))
     ids, piece, words = mining.tokens(b"a b a b\nc d a\na b")
     assert len(ids) == 9 and len(set(piece.tolist())) == 3 and words == [b"a", b"b", b"c", b"d"]
     got = block_phrases(b"a b a b\nc d a\na b", "en", np.arange(512, dtype=np.uint64))
