@@ -27,7 +27,8 @@ from .common import materialise
 GAPS = r"[\x00-\x60\x7B-\x7F]+"
 SMOOTH = 5
 CELLS = 500_000
-HELD_ROWS = 500_000  # partial counts a task holds before it sends them
+HELD_ROWS = 200_000  # partial counts a task holds before it sends them
+SLICE_BYTES = 2 << 20  # of text that is split at once
 SCALE_STEPS = 3  # parts per 1000 ** 3
 
 
@@ -56,11 +57,20 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
                      "n": sums["n_sum"], "docs": sums["docs_sum"]})
 
 
+def _slices(batches):
+    """Batches of whole texts, about ``SLICE_BYTES`` each."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def _partial(batches):
     held, rows = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches):
         held.append(_batch_counts(*(batch.column(c) for c in ("lang", "source", "text"))))
         rows += held[-1].num_rows
         if rows >= HELD_ROWS:
