@@ -13,11 +13,12 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from quadloom import operators as op
 from quadloom.operators import distinct_quads
 from quadloom.plans import quality
 from quadloom.sources import catalog, identity, readers, store, writers
 from quadloom.sources.turtle import parse_turtle
-from quadloom.terms import LANG_STRING, XSD, XSD_STRING
+from quadloom.terms import LANG_STRING, XSD, XSD_STRING, Iri, Var
 
 LINES = r'''<http://x/s> <http://x/p> "a\"b\\n\\\\c\nd\té\U0001F600 \'" .
 # comment
@@ -286,17 +287,111 @@ def test_packed_turtle(spark, tmp_path):
 
 
 # ---------------------------------------------------------------- store
-def test_load_overwrites_what_a_dead_load_left(spark, tmp_path):
+def test_what_a_dead_load_left_is_not_read(spark, tmp_path):
     (tmp_path / "a.nt").write_text("<http://a/1> <http://p> <http://o> .\n")
     manifest, _ = load(spark, tmp_path, [{"path": "a.nt", "format": "nt", "graph": "http://g"}])
     place = str(tmp_path / "store")
-    left = tmp_path / "store" / "data" / "load=1" / "source_idx=0"
+    left = tmp_path / "store" / "data" / "0123"
     left.mkdir(parents=True)
     (left / "part-0.parquet").write_bytes(b"unfinished")
     assert store.load_quads(spark, manifest, place) == "build"
     assert [r.s for r in store.read_store(spark, place).collect()] == ["http://a/1"]
 
 
+def quads_of(spark, *rows):
+    """Quads from (graph, subject, source) with one predicate and object."""
+    text = ["<http://%s> <http://p> <http://o> %s ." % (s, f"<http://{g}>" if g else "") for g, s, _ in rows]
+    lines = spark.createDataFrame([(k, 0, t) for t, (_, _, k) in zip(text, rows)], readers.PARSED)
+    return readers.read_nquads(lines)
+
+
+def held(spark, place):
+    rows = store.read_owners(spark, place).collect()
+    assert len({(r.g, r.s) for r in rows}) == len(rows)
+    return {(r.g and r.g[7:], r.s[7:]): r.owners for r in rows}
+
+
+def test_owner_sets_of_many_sources(spark):
+    rows = [("g", "x", k) for k in (0, 5, 61, 62, 130)] + [("g", "y", 61), (None, "y", 62), (None, "y", 62), ("g", "z", None)]
+    got = {(r.g, r.s): r.owners for r in store.owned(quads_of(spark, *rows)).collect()}
+    assert got == {("http://g", "http://x"): [0, 5, 61, 62, 130], ("http://g", "http://y"): [61],
+                   (None, "http://y"): [62], ("http://g", "http://z"): [store.UPDATES]}
+
+
+def test_updates_are_kept_as_layers(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "store")
+    monkeypatch.setattr(store, "MERGE_SHARE", 9)
+    store.reload_quads(quads_of(spark, ("g", "a", 0), ("g", "a", 1), ("g", "b", 0), (None, "b", 1)), place, "hash")
+    store.apply_update(spark, place, quads_of(spark, ("g", "a", 7), ("g", "none", 7)), quads_of(spark, ("g", "c", 7), ("g", "b", 7)))
+    assert held(spark, place) == {("g", "b"): [-1, 0], (None, "b"): [1], ("g", "c"): [-1]}
+    store.apply_update(spark, place, quads_of(spark, (None, "b", 0)))
+    store.apply_update(spark, place, quads_of(spark, ("g", "a", 0)), quads_of(spark, ("g", "a", 0)))
+    want = {("g", "b"): [-1, 0], ("g", "c"): [-1], ("g", "a"): [-1]}
+    assert held(spark, place) == want
+    load = store.current_load(spark, place)
+    assert len(load["layers"]) == 4 and load["rows"] == [3, 3, 1, 1] and load["input_hash"] == "hash"
+    assert store.apply_update(spark, place, quads_of(spark, ("g", "none", 0))) == 5
+    assert len(store.current_load(spark, place)["layers"]) == 4
+    store.compact(spark, place)
+    load = store.current_load(spark, place)
+    assert held(spark, place) == want and load["rows"] == [3] and load["input_hash"] == "hash"
+    assert {r.s[7:]: r.source_idx for r in store.read_store(spark, place).collect()} == {"a": None, "b": None, "c": None}
+    monkeypatch.setattr(store, "MERGE_SHARE", 0.1)
+    store.apply_update(spark, place, insert=quads_of(spark, ("g", "d", 0)))
+    assert len(store.current_load(spark, place)["layers"]) == 1 and len(held(spark, place)) == 4
+
+
+def test_refresh_leaves_updates_and_other_owners(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MERGE_SHARE", 9)
+    line = "<http://{0}> <http://p> <http://o> <http://g> .\n"
+
+    def write(name, subjects):
+        (tmp_path / f"{name}.nq").write_text("".join(line.format(x) for x in subjects))
+        return load(spark, tmp_path, [{"path": f"{n}.nq", "format": "nq"} for n in "ab" if (tmp_path / f"{n}.nq").exists()])[0]
+    write("a", "stuv")
+    first = write("b", "vwx")
+    place = str(tmp_path / "store")
+    store.load_quads(spark, first, place)
+    gone = [("g", x, 0) for x in "tx"]
+    store.apply_update(spark, place, quads_of(spark, *gone), quads_of(spark, ("g", "new", 0)))
+    second = write("a", "tvx")
+    assert store.refresh_quads(spark, first, second, place) == [0]
+    # t is read again and comes back; x comes back by source 0 alone; s and u went with their file
+    assert held(spark, place) == {("g", k): v for k, v in
+                                  {"t": [0], "v": [0, 1], "x": [0], "w": [1], "new": [-1]}.items()}
+    assert store.refresh_quads(spark, second, second, place) == []
+
+
+def test_reading_two_sources_needs_no_exchange(spark, tmp_path):
+    place = str(tmp_path / "store")
+    store.reload_quads(quads_of(spark, ("g", "a", 0), ("g", "a", 1), ("g", "b", 1)), place)
+    graph = op.from_graphs(store.read_store(spark, place), ["http://g"])
+    found = op.pattern(graph, Var("s"), Iri("http://p"), Var("o"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 2
+
+
+def test_two_loads_from_one_state_are_not_both_committed(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "store")
+    store.reload_quads(quads_of(spark, ("g", "a", 0)), place)
+    write = store._write
+
+    def slow(rows, folder):
+        monkeypatch.setattr(store, "_write", write)
+        store.apply_update(spark, place, insert=quads_of(spark, ("g", "first", 0)))  # another load, meanwhile
+        return write(rows, folder)
+    monkeypatch.setattr(store, "_write", slow)
+    with pytest.raises(store.ConcurrentLoad):
+        store.apply_update(spark, place, insert=quads_of(spark, ("g", "second", 0)))
+    assert {s for _, s in held(spark, place)} == {"a", "first"}
+    last = store.current_load(spark, place)["load_id"]
+    store._append(spark, f"{place}/claims", (last + 1, "unfinished"), store.CLAIMS)
+    with pytest.raises(store.ConcurrentLoad):
+        store.apply_update(spark, place, insert=quads_of(spark, ("g", "third", 0)))
+    monkeypatch.setattr(store, "CLAIM_SECONDS", 0)  # an old claim without a load no longer counts
+    store.apply_update(spark, place, insert=quads_of(spark, ("g", "third", 0)))
+    assert {s for _, s in held(spark, place)} == {"a", "first", "third"}
+
+
 def test_refresh_keeps_quads_of_another_source(spark, tmp_path):
     line = "<http://s/{0}> <http://p> <http://o> <http://g> .\n"
     for name in "ab":

@@ -234,29 +234,83 @@ def store_load_keep_refresh(spark, sf):
         F.lit(",".join(map(str, rewritten))).alias("rewritten"), F.count("*").alias("quads"))
 
 
-@query("insert_and_delete", f"""
-    SELECT {NAT} AS s, '{RDFS}label' AS p, n_name AS o FROM nation WHERE n_regionkey <> 1
-    UNION ALL SELECT {NAT}, '{EX}region', {iri('region', 'n_regionkey')} FROM nation
-    UNION ALL SELECT {NAT}, '{EX}note', 'new' FROM nation""")
-def insert_and_delete(spark, sf):
-    q = table_quads(spark, sf, "nation").filter(C("p") != RDF_TYPE)
+NATION_SQL = f"""
+    SELECT '{GEO}' AS g, {NAT} AS s, '{RDF_TYPE}' AS p, '{EX}Nation' AS o, '' AS lang FROM nation
+    UNION ALL SELECT '{GEO}', {NAT}, '{RDFS}label', n_name, 'en' FROM nation
+    UNION ALL SELECT '{GEO}', {NAT}, '{EX}region', {iri('region', 'n_regionkey')}, '' FROM nation"""
+UPDATED_SQL = f"""
+    SELECT * FROM ({NATION_SQL}) WHERE NOT (p = '{RDFS}label' AND s IN (SELECT {NAT} FROM nation WHERE n_regionkey = 1))
+    UNION ALL SELECT '{GEO}', {NAT}, '{EX}note', 'new', '' FROM nation
+    UNION ALL {CUSTOMER_SQL}"""
+
+
+def updated_store(spark, sf):
+    """A store of nations and customers; labels of one region's nations deleted, a note inserted twice."""
+    place = scratch_path(spark, "store")
+    store.reload_quads(table_quads(spark, sf, "nation", "customer"), place)
+    q = store.read_store(spark, place)
     in_one = q.filter((C("p") == EX + "region") & (C("o")["value"] == EX + "region/1")).select("s")
-    labels = q.filter(C("p") == RDFS + "label").join(in_one, "s", "left_semi")
-    g = op.from_graphs(q, [GEO])
+    store.apply_update(spark, place, delete=q.filter(C("p") == RDFS + "label").join(in_one, "s", "left_semi"))
+    g = op.from_graphs(store.read_store(spark, place), [GEO])
     notes = op.construct(op.pattern(g, V("n"), ex("region"), V("r")), [(V("n"), ex("note"), Lit("new"))])
-    added = notes.select(F.lit(GEO).alias("g"), "s", "s_kind", "p", "o")
-    out = store.insert_quads(store.insert_quads(store.delete_quads(q, labels), added), added)
-    return out.select("s", "p", C("o")["value"].alias("o"))
+    for _ in range(2):
+        store.apply_update(spark, place, insert=notes.select(F.lit(GEO).alias("g"), "s", "s_kind", "p", "o"))
+    return place
+
+
+@query("insert_and_delete", UPDATED_SQL)
+def insert_and_delete(spark, sf):
+    return flat(store.read_store(spark, updated_store(spark, sf)))
+
+
+@query("store_compacted", UPDATED_SQL)
+def store_compacted(spark, sf):
+    place = updated_store(spark, sf)
+    store.compact(spark, place)
+    return flat(store.read_store(spark, place))
 
 
 @query("update_where", f"""
-    SELECT {CUST} AS s, '{EX}segment' AS p, c_mktsegment AS o FROM customer WHERE c_mktsegment <> 'BUILDING'
-    UNION ALL SELECT {CUST}, '{EX}sector', 'BUILDING' FROM customer WHERE c_mktsegment = 'BUILDING'""")
+    SELECT g, s, CASE WHEN p = '{EX}segment' AND o = 'BUILDING' THEN '{EX}sector' ELSE p END AS p, o, lang FROM ({CUSTOMER_SQL})""")
 def update_where(spark, sf):
-    q = table_quads(spark, sf, "customer").filter(C("p") == EX + "segment")
-    b = op.pattern(op.from_graphs(q, [TRADE]), V("c"), ex("segment"), V("v")).filter(C("v")["value"] == "BUILDING")
-    out = store.update_where(q, b, [(V("c"), ex("segment"), V("v"))], [(V("c"), ex("sector"), V("v"))], TRADE)
-    return out.select("s", "p", C("o")["value"].alias("o"))
+    place = scratch_path(spark, "store")
+    store.reload_quads(table_quads(spark, sf, "customer"), place)
+    g = op.from_graphs(store.read_store(spark, place), [TRADE])
+    b = op.pattern(g, V("c"), ex("segment"), V("v")).filter(C("v")["value"] == "BUILDING")
+    store.apply_update_where(spark, place, b, [(V("c"), ex("segment"), V("v"))], [(V("c"), ex("sector"), V("v"))], TRADE)
+    return flat(store.read_store(spark, place))
+
+
+@query("updates_in_a_plan", UPDATED_SQL)
+def updates_in_a_plan(spark, sf):
+    q = table_quads(spark, sf, "nation", "customer")
+    in_one = q.filter((C("p") == EX + "region") & (C("o")["value"] == EX + "region/1")).select("s")
+    labels = q.filter(C("p") == RDFS + "label").join(in_one, "s", "left_semi")
+    notes = op.construct(op.pattern(op.from_graphs(q, [GEO]), V("n"), ex("region"), V("r")), [(V("n"), ex("note"), Lit("new"))])
+    added = notes.select(F.lit(GEO).alias("g"), "s", "s_kind", "p", "o")
+    return flat(store.insert_quads(store.insert_quads(store.delete_quads(q, labels), added), added))
+
+
+@query("store_shared_quads", f"""
+    SELECT *, '0' AS owners FROM ({NATION_SQL}) UNION ALL SELECT *, '1' FROM ({CUSTOMER_SQL})
+    UNION ALL SELECT *, '1' FROM (SELECT '{GEO}', {iri('region', 'r_regionkey')}, '{RDF_TYPE}', '{EX}Region', '' FROM region
+      UNION ALL SELECT '{GEO}', {iri('region', 'r_regionkey')}, '{RDFS}label', r_name, 'en' FROM region)""")
+def store_shared_quads(spark, sf):
+    """Two sources hold all customers; one is written anew without them, so they stay with the other."""
+    place, a, b = (scratch_path(spark, x) for x in ("store", "nq", "nq"))
+    writers.write_nquads(table_quads(spark, sf, "customer"), a)
+    writers.write_nquads(table_quads(spark, sf, "customer", "region"), b)
+
+    def manifest():
+        entries = [{"path": f"{f}/part-*", "format": "nq"} for f in (a, b)]
+        sources = catalog.checked_sources(catalog.source_catalog(spark, entries))
+        return identity.build_manifest(catalog.discover_files(spark, sources), sources)
+    old = manifest()
+    store.load_quads(spark, old, place)
+    writers.write_nquads(table_quads(spark, sf, "nation"), a)
+    store.refresh_quads(spark, old, manifest(), place)
+    owners = F.array_join(C("owners").cast("array<string>"), ",").alias("owners")
+    return store.read_owners(spark, place).select("g", "s", "p", C("o")["value"].alias("o"), C("o")["lang"].alias("lang"), owners)
 
 
 # ---------------------------------------------------------------- results
