@@ -41,14 +41,17 @@ def read_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     parts, batch = [], []
 
     def flush():
-        plain = {r[2]: r for r in batch if not r[2].endswith(".xz")}
+        plain: dict[str, list] = {}  # a file may stand under several sources
+        for *place, path in batch:
+            if not path.endswith(".xz"):
+                plain.setdefault(path, []).append(place)
         packed = [r for r in batch if r[2].endswith(".xz")]
         if plain:
             paths = list(plain)
             # the reader's own spelling of each path, from file metadata only
             listed = spark.read.format("binaryFile").load(paths).select(
                 _bare(F.col("path")).alias("path"), F.col("_metadata.file_path").alias("uri"))
-            rows = [(*plain[r["path"]][:2], r["uri"]) for r in listed.toLocalIterator()]
+            rows = [(*place, r["uri"]) for r in listed.toLocalIterator() for place in plain[r["path"]]]
             table = lookup(spark, rows, "source_idx int, file_idx int, __uri string")
             text = spark.read.text(paths).select(
                 F.col("value").alias("line"), F.col("_metadata.file_path").alias("__uri"))
@@ -196,5 +199,5 @@ def read_quads(spark: SparkSession, manifest: DataFrame, mode: str = "failfast")
         made.append(got)
     quads = assign_graph(reduce(lambda a, b: a.unionByName(b), made), manifest)
     if mode == "quarantine":
-        return quads, reduce(lambda a, b: a.unionByName(b), rejects)
+        return quads, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rejects)
     return quads

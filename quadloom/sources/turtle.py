@@ -27,14 +27,23 @@ RANGE_BYTES = 64 << 20
 RANGES_PER_FILE = 50_000
 RANGE = 'source_idx int, file_idx int, path string, start bigint, end bigint'
 START = '{"base": "", "prefixes": {}}'
+PARSED = ("source_idx int, file_idx int, range bigint, statement bigint, s string, s_kind tinyint, p string, "
+          "o_kind tinyint, o_value string, o_lang string, o_dt string, error string, start bigint, end bigint")
+REJECTS = "source_idx int, file_idx int, start bigint, end bigint, error string, piece int, line string"
 
 
 def _spread(df: DataFrame, tasks: int) -> DataFrame:
-    return df.repartition(max(1, tasks), "path", "start")
+    return df.repartition(max(1, tasks), "source_idx", "file_idx", "start")
 
 
 def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
                  range_bytes: int = RANGE_BYTES):
+    """Quads of Turtle files.  ``failfast`` stops the job at the first faulty statement.
+
+    ``quarantine`` returns ``(quads, rejects)``: every statement has an address (source, file,
+    range, number), no quad of a faulty one is kept however long it is, and a reject names the
+    bytes it stands at and carries its text, one row for each piece of it.
+    """
     if mode not in ("failfast", "quarantine"):
         raise ValueError("mode must be 'failfast' or 'quarantine'")
     packed = compression(F.col("path")) != ""
@@ -55,29 +64,31 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
         # carried per file: one small row per range, and at most RANGES_PER_FILE of them
         states = _spread(cut, tasks).mapInPandas(
             tw.range_states, RANGE + ", from_n string, from_d string, from_s string"
-        ).groupBy("path").applyInPandas(tw.carry_states, RANGE + ", state string")
+        ).groupBy("source_idx", "file_idx").applyInPandas(tw.carry_states, RANGE + ", state string")
         states = materialise(states, "turtle-states")
         declared = _spread(states, tasks).mapInPandas(
             tw.range_directives, RANGE + ", state string, declared string, open int"
-        ).groupBy("path").applyInPandas(
+        ).groupBy("source_idx", "file_idx").applyInPandas(
             tw.carry_declarations, RANGE + ", state string, env string, running int")
         ranges = single.unionByName(materialise(declared, "turtle-ranges"))
     tasks = min(ranges.count(), 100_000)
-    parsed = _spread(ranges, tasks).mapInPandas(
-        tw.parse_ranges,
-        "source_idx int, file_idx int, s string, s_kind tinyint, p string, o_kind tinyint, "
-        "o_value string, o_lang string, o_dt string, reject string")
-    quads = F.col("reject").isNull()
+    parsed = _spread(ranges, tasks).mapInPandas(tw.parse_ranges, PARSED)
+    quads = F.col("error").isNull()
     if mode == "failfast":
         message = F.concat(F.lit("cannot parse statement of source "), F.col("source_idx").cast("string"),
-                           F.lit(" file "), F.col("file_idx").cast("string"), F.lit(": "), F.col("reject"))
-        good = parsed.filter(F.when(quads, F.lit(True)).otherwise(F.raise_error(message)))
-    else:
-        good = parsed.filter(quads)
-    made = good.select(
+                           F.lit(" file "), F.col("file_idx").cast("string"), F.lit(" at byte "),
+                           F.col("start").cast("string"), F.lit(": "), F.col("error"))
+        return _quads(parsed.filter(F.when(quads, F.lit(True)).otherwise(F.raise_error(message))))
+    parsed = materialise(parsed, "turtle-statements")
+    address = ["source_idx", "file_idx", "range", "statement"]
+    bad = materialise(parsed.filter(~quads).select(*address, "error", "start", "end"), "turtle-rejects")
+    good = parsed.filter(quads).join(bad.select(*address), address, "left_anti")
+    places = bad.join(files.select("source_idx", "file_idx", "path"), ["source_idx", "file_idx"])
+    return _quads(good), places.mapInPandas(tw.reject_texts, REJECTS)
+
+
+def _quads(parsed: DataFrame) -> DataFrame:
+    return parsed.select(
         F.lit(None).cast("string").alias("g"), "s", "s_kind", "p",
         term(F.col("o_kind"), F.col("o_value"), F.col("o_lang"), F.col("o_dt")).alias("o"),
         "source_idx", "file_idx")
-    if mode == "failfast":
-        return made
-    return made, parsed.filter(~quads).select("source_idx", "file_idx", F.col("reject").alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from urllib.parse import urljoin
@@ -80,16 +81,36 @@ def _line(stream) -> bytes:
     return stream.readline()
 
 
+def first_line(path: str, start: int) -> int:
+    """Where the first line that begins in a range does."""
+    if start == 0:
+        return 0
+    with open_raw(path) as stream:
+        stream.seek(start - 1)
+        return start - 1 + len(_line(stream))
+
+
 class Tokens:
     """Token stream of a range, starting in state N, or inside a long string (D or S).
 
     ``inside`` tells whether the current token begins in the range itself.
     """
 
-    def __init__(self, source, state: str = "N"):
+    def __init__(self, source, state: str = "N", first: int = 0):
         self.source, self.state = source, state
         self.buffer, self.limit, self.inside = "", 0, True
-        self.pushed = None
+        self.start = self.stop = self.char = 0
+        self.byte = first  # where in the file the character at ``char`` of the buffer begins
+
+    def offset(self, char: int) -> int:
+        """Byte offset in the file of a character of the buffer, never before the last one asked."""
+        self.byte += len(self.buffer[self.char:char].encode())
+        self.char = char
+        return self.byte
+
+    def _drop(self, n: int):
+        self.offset(n)
+        self.buffer, self.limit, self.char = self.buffer[n:], max(0, self.limit - n), 0
 
     def _more(self) -> bool:
         block = next(self.source, None)
@@ -113,7 +134,7 @@ class Tokens:
                     continue
                 at, self.state = found + 3, "N"
             if at >= len(self.buffer):
-                self.buffer, self.limit = "", 0
+                self._drop(at)
                 at = 0
                 if not self._more():
                     return
@@ -125,15 +146,17 @@ class Tokens:
                     continue
                 self.state = "D" if m.group() == '"""' else "S"
                 self.inside = at < self.limit
+                self.start, self.stop = at, len(self.buffer)
                 yield "open", m.group()
                 return
             if at > BLOCK:
-                self.buffer, self.limit = self.buffer[at:], max(0, self.limit - at)
+                self._drop(at)
                 at = 0
                 continue
             at = m.end()
             if kind != "skip":
                 self.inside = m.start() < self.limit
+                self.start, self.stop = m.span()
                 yield kind, m.group()
 
 
@@ -233,17 +256,16 @@ class Statements:
         self.fresh = f"{self.scope}.{row.start}."
         self.n = 0
         splittable = row.end >= 0
-        self.tokens = Tokens(blocks(row.path, row.start, row.end, splittable), row.state)
+        self.tokens = Tokens(blocks(row.path, row.start, row.end, splittable), row.state,
+                             first_line(row.path, row.start))
         self.stream = self.tokens.run()
         self.running = bool(row.running) or row.state != "N"
         self.rows: list = []
-        self.seen: list[str] = []
+        self.statement_no = 0
         self.held = self.last = None
 
     def fetch(self):
-        token = next(self.stream, ("end", ""))
-        self.seen.append(token[1])
-        return token
+        return next(self.stream, ("end", ""))
 
     def next(self):
         token = self.fetch() if self.held is None else self.held
@@ -266,22 +288,24 @@ class Statements:
             pass
 
     def run(self):
-        """Yield lists of rows; a faulty statement gives one reject row."""
+        """Yield lists of rows, each with the number of its statement; a faulty statement gives one
+        reject row with its place in the file, whatever of it was handed over before."""
         if self.running:
             self.skip_statement()
         while True:
-            self.seen, self.last = [], None
+            self.last = None
+            self.statement_no += 1
             kind, text = self.peek()
             if kind == "end" or not self.tokens.inside:
                 break
-            kept = len(self.rows)
+            begin = self.tokens.offset(self.tokens.start)
             try:
                 yield from self.statement()
             except ValueError as error:
-                del self.rows[kept:]
                 if self.last != "dot":
                     self.skip_statement()
-                self.rows.append((None,) * 7 + (f"{error}: {' '.join(self.seen)}"[:2000],))
+                place = (begin, self.tokens.offset(self.tokens.stop))
+                self.rows.append((None,) * 7 + (self.statement_no, str(error), *place))
             if len(self.rows) >= ROWS:
                 yield self.rows
                 self.rows = []
@@ -349,7 +373,6 @@ class Statements:
                 value = self.object()
                 self.emit(subject, predicate, value)
                 yield
-                self.seen = self.seen[-50:]
                 if self.peek() != ("punct", ","):
                     break
                 self.next()
@@ -440,17 +463,30 @@ class Statements:
         return self.prefixes[prefix + ":"] + local
 
     def emit(self, s, p, o):
-        self.rows.append((s[1], s[0], p, *o, None))
+        self.rows.append((s[1], s[0], p, *o, self.statement_no, None, None, None))
 
 
 def parse_ranges(batches):
     import pandas as pd
 
-    columns = ["s", "s_kind", "p", "o_kind", "o_value", "o_lang", "o_dt", "reject"]
+    columns = ["s", "s_kind", "p", "o_kind", "o_value", "o_lang", "o_dt", "statement", "error", "start", "end"]
     for pdf in batches:
         for row in pdf.itertuples():
             for rows in Statements(row).run():
                 out = pd.DataFrame(rows, columns=columns, dtype=object)
-                out.insert(0, "file_idx", row.file_idx)
-                out.insert(0, "source_idx", row.source_idx)
-                yield out
+                yield out.assign(source_idx=row.source_idx, file_idx=row.file_idx, range=row.start)
+
+
+def reject_texts(batches):
+    """The text of every rejected statement, in pieces."""
+    import pandas as pd
+
+    for pdf in batches:
+        for row in pdf.itertuples():
+            decode = codecs.getincrementaldecoder("utf-8")().decode
+            with open_plain(row.path) as stream:
+                stream.seek(row.start)
+                for piece, at in enumerate(range(row.start, row.end, BLOCK)):
+                    line = decode(stream.read(min(BLOCK, row.end - at)))
+                    yield pd.DataFrame([(row.source_idx, row.file_idx, row.start, row.end, row.error, piece, line)], columns=[
+                        "source_idx", "file_idx", "start", "end", "error", "piece", "line"])

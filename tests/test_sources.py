@@ -266,6 +266,46 @@ def test_turtle_rejects(spark, tmp_path):
         parse_turtle(spark, files).collect()
 
 
+@pytest.mark.parametrize("size", [64 << 20, 150])
+def test_rejects_name_their_bytes(spark, tmp_path, size):
+    text = ("@prefix e: <http://e/> .\n# caf\u00e9 \u20ac\ne:a e:b \"\u00fc\", e:c .\ne:a e:b e:c ; e:d \"\u20ac\u20ac\" , .\n"
+            "e:x e:y e:z .\nz:a e:b\n  \"\u00e9\" .\ne:q e:r \"\"\"long\n. text\"\"\" ; ; [] .\ne:x e:y e:last .\n") * 2
+    (tmp_path / "t.ttl").write_text(text, encoding="utf-8")
+    good, bad = parse_turtle(spark, turtle_file(spark, tmp_path / "t.ttl"), "quarantine", size)
+    raw = text.encode()
+    rejects = bad.orderBy("start").collect()
+    assert [raw[r.start:r.end].decode() for r in rejects] == [r.line for r in rejects]
+    assert [r.line for r in rejects][:3] == ['e:a e:b e:c ; e:d "\u20ac\u20ac" , .', 'z:a e:b\n  "\u00e9" .',
+                                             'e:q e:r """long\n. text""" ; ; [] .'] and len(rejects) == 6
+    assert good.count() == 8 and good.distinct().count() == 4
+
+
+def test_long_faulty_statement_leaves_nothing(spark, tmp_path):
+    objects = " , ".join(f"e:o{i}" for i in range(150_000))
+    bad_text = f"e:s e:p {objects} , ."
+    (tmp_path / "t.ttl").write_text(f"@prefix e: <http://e/> .\ne:a e:b e:c .\n{bad_text}\ne:x e:y e:z .\n")
+    good, bad = parse_turtle(spark, turtle_file(spark, tmp_path / "t.ttl"), "quarantine")
+    assert sorted(r.s for r in good.collect()) == ["http://e/a", "http://e/x"]
+    pieces = bad.orderBy("piece").collect()
+    assert len(pieces) == 2 and "".join(r.line for r in pieces) == bad_text
+
+
+@pytest.mark.parametrize("fmt, name", [("nt", "f.nt"), ("nt", "f.nt.xz"), ("ttl", "f.ttl"), ("ttl", "f.ttl.gz")])
+def test_one_file_under_two_sources(spark, tmp_path, fmt, name):
+    text = "".join(f"<http://s/{i}> <http://p> _:x .\n" for i in range(5)).encode()
+    packed = {"xz": lzma.compress, "gz": gzip.compress}.get(name.rsplit(".", 1)[-1], bytes)
+    (tmp_path / name).write_bytes(packed(text))
+    manifest, _ = load(spark, tmp_path, [{"path": name, "format": fmt, "graph": f"http://g/{k}"} for k in (1, 2)])
+    got = readers.read_quads(spark, manifest)
+    assert sorted((r.g, r.n) for r in got.groupBy("g").agg(F.count("*").alias("n")).collect()) == [
+        ("http://g/1", 5), ("http://g/2", 5)]
+    assert got.select(F.col("o")["value"]).distinct().count() == 2
+    if name == "f.ttl":
+        files = manifest.select("source_idx", "file_idx", "path", "size")
+        ranged = parse_turtle(spark, files, range_bytes=40)
+        assert turtle_rows(ranged) == turtle_rows(got)
+
+
 def test_ranges_of_a_file_behind_an_arrow_file_system(tmp_path, monkeypatch):
     from pyarrow import fs
 

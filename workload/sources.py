@@ -111,6 +111,43 @@ def quarantined_lines(spark, sf):
         good.agg(F.lit("good").alias("kind"), F.count("*").alias("n")))
 
 
+BAD_TEXT = "'ex:customer\\/' || c_custkey || ' ex:balance \"' || c_name || '\" , .'"
+
+
+@query("quarantined_turtle", f"""
+    SELECT 'bad' AS kind, {BAD_TEXT} AS text FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 'good', {CUST} || ' ' || c_name FROM customer WHERE c_acctbal >= 0""")
+def quarantined_turtle(spark, sf):
+    """One statement a customer; those of customers in debt are faulty after their first object."""
+    folder = scratch_path(spark, "ttl")
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    statement = F.concat(F.lit("ex:customer\\/"), C("c_custkey").cast("string"), F.lit(' ex:balance "'), C("c_name"),
+                         F.when(C("c_acctbal") < 0, F.lit('" , .')).otherwise(F.lit('" .')))
+    c.select(F.concat(F.lit(f"@prefix ex: <{EX}> .\n"), statement).alias("value")).write.text(folder)
+    files, _ = files_of(spark, folder, "ttl")
+    good, bad = parse_turtle(spark, files, "quarantine", range_bytes=5_000)
+    return bad.select(F.lit("bad").alias("kind"), C("line").alias("text")).unionByName(
+        good.select(F.lit("good").alias("kind"), F.concat_ws(" ", "s", C("o")["value"]).alias("text")))
+
+
+@query("one_file_two_graphs", " UNION ALL ".join(
+    f"SELECT '{fmt}' AS format, '{EX}{k}' AS graph, {CUST} AS s, c_name AS o FROM customer" for fmt in ("nt", "ttl") for k in (1, 2)))
+def one_file_two_graphs(spark, sf):
+    """The same files listed under two sources: each source has all their quads in its graph."""
+    names = table_quads(spark, sf, "customer").filter(C("p") == EX + "name")
+    out = []
+    for fmt in ("nt", "ttl"):
+        folder = scratch_path(spark, fmt)
+        writers.write_nquads(names, folder, graphs=False)
+        entries = [{"path": f"{folder}/part-*", "format": fmt, "graph": f"{EX}{k}"} for k in (1, 2)]
+        sources = catalog.checked_sources(catalog.source_catalog(spark, entries))
+        files = catalog.listed(catalog.discover_files(spark, sources), sources)
+        quads = readers.read_quads(spark, files) if fmt == "nt" else readers.assign_graph(
+            parse_turtle(spark, files, range_bytes=20_000), files)
+        out.append(quads.select(F.lit(fmt).alias("format"), C("g").alias("graph"), "s", C("o")["value"].alias("o")))
+    return out[0].unionByName(out[1])
+
+
 @query("distinct_quads", f"SELECT {NAT} AS s, n_name AS o FROM nation")
 def distinct_quads(spark, sf):
     q = table_quads(spark, sf, "nation")
