@@ -14,6 +14,11 @@ from ..terms import (
 from .strings import is_string
 
 
+#: Exact numbers: sums of two still fit Spark's 38 digits, so no digit is rounded away unseen.
+#: A result that does not fit has no value.
+EXACT = "decimal(37,18)"
+
+
 @dataclass(frozen=True)
 class Number:
     """A numeric value in the forms an operator may need, each NULL where it does not apply.
@@ -24,7 +29,7 @@ class Number:
 
     rank: Column      # 0 integer, 1 decimal, 2 float, 3 double
     whole: Column     # decimal(38,0)
-    exact: Column     # decimal(28,9)
+    exact: Column     # EXACT
     floating: Column  # double
 
 
@@ -44,12 +49,12 @@ def _number(x) -> Number:
         dt = XSD_INTEGER if isinstance(x, int) else XSD_DOUBLE
         x = num(x)
         return Number(F.lit(0 if dt == XSD_INTEGER else 3), decimal_of(x, "decimal(38,0)"),
-                      decimal_of(x, "decimal(28,9)"), double_of(x))
+                      decimal_of(x, EXACT), double_of(x))
     known = x.__dict__.get("quadloom_number")
     if known is not None:
         return known
     whole = F.when(x["dt"].isin(INTEGER_TYPES), x["value"].try_cast("decimal(38,0)"))
-    return Number(number_rank(x), whole, decimal_of(x, "decimal(28,9)"), double_of(x))
+    return Number(number_rank(x), whole, decimal_of(x, EXACT), double_of(x))
 
 
 def _term(n: Number) -> Column:
@@ -70,10 +75,40 @@ def _higher(a: Column, b: Column) -> Column:
     return F.when(a >= b, a).when(b > a, b)
 
 
-def _operate(a, b, op) -> Column:
+def _operate(a, b, op, exact=None) -> Column:
     a, b = _number(a), _number(b)
-    return _term(Number(_higher(a.rank, b.rank), op(a.whole, b.whole).cast("decimal(38,0)"),
-                        op(a.exact, b.exact).cast("decimal(28,9)"), op(a.floating, b.floating)))
+    return _term(Number(_higher(a.rank, b.rank), op(a.whole, b.whole).try_cast("decimal(38,0)"),
+                        (exact or op)(a.exact, b.exact).try_cast(EXACT), op(a.floating, b.floating)))
+
+
+def _split(x: Column) -> tuple[Column, Column]:
+    """Whole part and fraction (0 or more) of an exact number."""
+    whole = F.floor(x).try_cast("decimal(19,0)")
+    return whole, (x - whole).cast("decimal(18,18)")
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The exact product rounded to 18 places, from four products that each keep all digits."""
+    (aw, af), (bw, bf) = _split(a), _split(b)
+    parts = [F.try_multiply(aw, bw), F.try_multiply(aw, bf), F.try_multiply(af, bw), F.try_multiply(af, bf)]
+    out = parts[0].try_cast(EXACT)
+    for part in parts[1:]:
+        out = F.try_add(out, part.try_cast(EXACT)).try_cast(EXACT)
+    return out
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Long division by remainders, six places a step; for divisors of more than 13 digits Spark's own
+    quotient of six places."""
+    out, rest = None, a
+    for places in (0, 6, 12, 18):
+        over = F.try_mod(rest, b)
+        digit = F.try_divide(F.try_subtract(rest, over).try_cast(EXACT), b).try_cast("decimal(19,0)")
+        digit = F.try_multiply(digit, F.lit("1" if not places else "0." + "0" * (places - 1) + "1")
+                               .cast(f"decimal({max(places, 1)},{places})")).try_cast(EXACT)
+        out = digit if out is None else F.try_add(out, digit).try_cast(EXACT)
+        rest = F.try_multiply(over.try_cast("decimal(31,18)"), F.lit(10 ** 6).cast("decimal(7,0)")).try_cast(EXACT)
+    return F.coalesce(out, F.try_divide(a, b).try_cast(EXACT))
 
 
 def add(a, b) -> Column:
@@ -85,7 +120,7 @@ def subtract(a, b) -> Column:
 
 
 def multiply(a, b) -> Column:
-    return _operate(a, b, F.try_multiply)
+    return _operate(a, b, F.try_multiply, _product)
 
 
 def divide(a, b) -> Column:
@@ -97,12 +132,12 @@ def divide(a, b) -> Column:
         x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
     floating = F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
     return _term(Number(F.when(rank == 0, 1).otherwise(rank), F.lit(None).cast("decimal(38,0)"),
-                        F.try_divide(a.exact, b.exact).cast("decimal(28,9)"), floating))
+                        _quotient(a.exact, b.exact), floating))
 
 
 def _same_type(t, exact, floating) -> Column:
     n = _number(t)
-    return _term(Number(n.rank, n.whole, exact(n.exact).cast("decimal(28,9)"), floating(n.floating)))
+    return _term(Number(n.rank, n.whole, exact(n.exact).try_cast(EXACT), floating(n.floating)))
 
 
 def abs_(t) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,12 @@ def _unfold(chunks: DataFrame, count: str, out: str) -> DataFrame:
     return chunks.select("*", F.explode(F.sequence(first, last)).alias(out)).drop("__chunk")
 
 
+def file_order(name: str) -> tuple[int, int]:
+    """Task and file number of a written file: names are padded to five and three digits only."""
+    task, part = re.match(r"part-(\d+)-.*?c(\d+)\.[^-]*$", name).groups()
+    return int(task), int(part)
+
+
 def row_index(df: DataFrame, keys: list, unique_rows: bool = False, out: str = "row_idx") -> DataFrame:
     """Exact 0-based position of every row in the order of ``keys``, without a global window.
 
@@ -110,10 +118,10 @@ def row_index(df: DataFrame, keys: list, unique_rows: bool = False, out: str = "
     ordered.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    counts = sorted((r["__file"], r["n"]) for r in
-                    stored.groupBy("__file").agg(F.count("*").alias("n")).toLocalIterator())
+    counts = [(r["__file"], r["n"]) for r in
+              stored.groupBy("__file").agg(F.count("*").alias("n")).toLocalIterator()]
     offsets, total = [], 0
-    for name, n in counts:
+    for name, n in sorted(counts, key=lambda x: file_order(x[0])):
         offsets.append((name, total))
         total += n
     table = spark.createDataFrame(offsets, "__file string, __offset long")

@@ -1,5 +1,7 @@
 """Function results that the tables do not cover: edge cases of the public SPARQL definitions."""
 
+from decimal import Decimal, localcontext
+
 from pyspark.sql import functions as F
 
 from quadloom import functions as fn
@@ -120,3 +122,26 @@ def test_rounding_beyond_long(spark):
     got = rows.select(*[f(term)["value"].cast("double").alias(n) for n, f in (
         ("c", N.ceil), ("f", N.floor), ("r", N.round_))]).collect()
     assert got[0] == (1e300, 1e300, 1e300) and str(got[1].f) == "nan" and got[3] == (-2.0, -3.0, -2.0)
+
+
+def test_exact_numbers_keep_18_places(spark):
+    values = ["1", "-1", "0", "0.00000000014", "0.00000000013", "-0.00000000013", "123456789.123456789123456789", "10", "3",
+              "1000000000000", "0.333333333333333333", "999999999999999999", "-7.25"]
+    rows = spark.createDataFrame([(a, b) for a in values for b in values], "a string, b string")
+    a, b = (literal_term(F.col(c), XSD_DECIMAL) for c in "ab")
+    made = rows.select("a", "b", *[f(a, b)["value"].alias(f.__name__) for f in (fn.add, fn.multiply, fn.divide)],
+                       fn.lt(a, b).alias("lt"))
+    step = Decimal(1).scaleb(-18)
+    with localcontext() as context:
+        context.prec = 100
+        for r in made.collect():
+            x, y = Decimal(r.a), Decimal(r.b)
+            assert Decimal(r.add) == x + y and r.lt == (x < y)
+            if abs(x * y) < 10 ** 19:
+                assert abs(Decimal(r.multiply) - x * y) <= 2 * step, r
+            else:
+                assert r.multiply is None
+            if y and abs(y) < 10 ** 13 and abs(x / y) < 10 ** 19:
+                assert abs(Decimal(r.divide) - x / y) <= 2 * step, r
+            elif not y:
+                assert r.divide is None

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from quadloom import operators as op
 from quadloom.operators.joins import order_patterns
-from quadloom.operators.modifiers import number_copies, row_index
+from quadloom.operators.modifiers import file_order, number_copies, row_index
 from quadloom.session import scratch_root
-from quadloom.terms import XSD_INTEGER, Iri, Lit, Var, iri_term, literal_term, order_key, when_bound
+from quadloom.terms import LANG_STRING, XSD, XSD_INTEGER, XSD_STRING, Iri, Lit, Var, iri_term, literal_term, order_key, when_bound
 
 V = Var
 
@@ -173,6 +173,42 @@ def test_term_order(spark):
     assert df.select(order_key(F.col("t")).isNull().alias("n")).filter("n").count() == 1
 
 
+ORDERED = [  # unbound, blank nodes, IRIs, texts, booleans, times, numbers
+    None, (0, "b1"), (0, "b2"), (1, "http://a"), (1, "http://a\x00"), (1, "http://a\x00b"), (1, "http://a/"), (1, "http://b"),
+    (2, "", XSD_STRING), (2, "Z", XSD_STRING), (2, "a", LANG_STRING, "de"), (2, "a", LANG_STRING, "en"), (2, "a\x01", XSD_STRING),
+    (2, "aa", XSD_STRING), (2, "not a number", XSD_INTEGER), (2, "\u00e9", XSD_STRING), (2, "\U0001f600", XSD_STRING),
+    (2, "false", XSD + "boolean"), (2, "1", XSD + "boolean"), (2, "true", XSD + "boolean"),
+    (2, "1969-12-31T23:59:59.999999Z", XSD + "dateTime"), (2, "1970-01-01", XSD + "date"),
+    (2, "2024-01-01T01:00:00+05:00", XSD + "dateTime"), (2, "2023-12-31T23:00:00Z", XSD + "dateTime"),
+    (2, "2023-12-31T20:00:00.5-03:00", XSD + "dateTime"),
+    (2, "-INF", XSD + "double"), (2, "-1e300", XSD + "double"), (2, "-123456789012345678901234567890", XSD_INTEGER),
+    (2, "-12345678901234567890", XSD_INTEGER), (2, "-12345678901234567889", XSD_INTEGER), (2, "-2.5", XSD + "decimal"),
+    (2, "-2.4999999999999999", XSD + "decimal"), (2, "-1e-300", XSD + "double"), (2, "0", XSD_INTEGER), (2, "0.0", XSD + "decimal"),
+    (2, "5e-324", XSD + "double"), (2, "0.00000000013", XSD + "decimal"), (2, "0.00000000014", XSD + "decimal"),
+    (2, "9", XSD_INTEGER), (2, "1.0E1", XSD + "float"), (2, "10", XSD_INTEGER), (2, "9007199254740992", XSD_INTEGER),
+    (2, "9007199254740993", XSD_INTEGER), (2, "9007199254740993.5", XSD + "decimal"), (2, "1e300", XSD + "double"),
+    (2, "INF", XSD + "double"), (2, "NaN", XSD + "double")]
+
+
+def test_order_key_is_one_byte_string(spark):
+    """Sorting, MIN, MAX, slices and pages follow the bytes of the key, also in descending order."""
+    terms = [t and (t[0], t[1], (t + ("", ""))[3] if len(t) > 3 else "", t[2] if len(t) > 2 else "") for t in ORDERED]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(terms)],
+                                 "i int, t struct<kind: tinyint, value: string, lang: string, dt: string>").repartition(4, "i")
+    assert rows.select(order_key(F.col("t")).alias("k")).schema["k"].dataType.simpleString() == "binary"
+    assert [r.i for r in op.order(rows, "t").collect()] == list(range(len(terms)))
+    assert [r.i for r in op.order(rows, op.desc("t")).collect()] == list(range(len(terms)))[::-1]
+    assert [r.i for r in row_index(rows, ["t"]).orderBy("row_idx").collect()] == list(range(len(terms)))
+    ends = rows.agg(op.minimum("t").alias("lo"), op.maximum("t").alias("hi")).first()
+    assert (ends.lo.value, ends.hi.value) == ("b1", "NaN")
+
+
+def test_files_are_ordered_by_number():
+    names = ["part-99999-a-c000.snappy.parquet", "part-100000-a-c000.snappy.parquet", "part-00002-a-c999.snappy.parquet",
+             "part-00002-a-c1000.snappy.parquet", "part-00002-a-c001.parquet"]
+    assert [names.index(n) for n in sorted(names, key=file_order)] == [4, 2, 3, 0, 1]
+
+
 def test_patterns(spark):
     g = graph_of(spark, [("a", "p", "a"), ("a", "p", "b"), ("a", "q", "p")])
     assert plain(op.pattern(g, V("x"), V("p"), V("x"))) == Counter([("a", "p")])

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from quadloom import functions as fn
 from quadloom import operators as op
-from quadloom.fixtures import COMMENT, EX, LABEL, iso_time
+from quadloom.fixtures import COMMENT, EX, LABEL, entity, iso_time
 from quadloom.operators.modifiers import row_index
 from quadloom.plans.model import unique_names
 from quadloom.terms import (
-    RDF_TYPE, XSD, XSD_DATETIME, Iri, Var, literal_term, order_key, value_of, values,
+    RDF_TYPE, XSD, XSD_DATETIME, Iri, Var, double_of, iri_term, literal_term, value_of, values,
 )
 
 from .graph import ex
@@ -323,17 +323,59 @@ def having_large_nations(spark, sf):
     return op.having(op.group(b, ["nation"], n=op.count("c")), C("n") > mean).select(value_of("nation"), "n")
 
 
+def _plain(sql):
+    return f"regexp_replace(rtrim(CAST({sql} AS VARCHAR), '0'), '[.]$', '.0')"
+
+
+@query("small_decimals", f"""
+    WITH p AS (SELECT {PART} AS part, CAST(p_partkey AS DECIMAL(18,0)) AS k, CAST(p_size AS DECIMAL(18,0)) AS z FROM part)
+    SELECT part, {_plain("CAST((k + z) * 0.00000000000001 AS DECIMAL(30,14))")} AS total,
+      {_plain("CAST(k * z * 0.000000000000000001 AS DECIMAL(38,18))")} AS product, k < z AS less FROM p""")
+def small_decimals(spark, sf):
+    """Keys and sizes as numbers far below one: sums, products and comparisons lose no digit."""
+    p = table(spark, sf, "part")
+
+    def tiny(c, shift):
+        return literal_term(F.concat(F.lit("0."), F.lpad(C(c).cast("string"), shift, "0")), XSD + "decimal")
+    a, b = tiny("p_partkey", 14), tiny("p_size", 14)
+    small, less = fn.multiply(tiny("p_partkey", 9), tiny("p_size", 9)), fn.lt(a, b)
+    return p.select(entity("part", C("p_partkey")).alias("part"), fn.add(a, b)["value"].alias("total"),
+                    small["value"].alias("product"), less.alias("less"))
+
+
 # ---------------------------------------------------------------- order, limit, pages
 @query("order_of_mixed_terms", f"""
-    WITH v AS (SELECT {ORD} AS o, 1 AS kind, NULL AS num, {iri('customer', 'o_custkey')} AS value FROM orders
-      UNION ALL SELECT {ORD}, 2, NULL, o_orderstatus FROM orders
-      UNION ALL SELECT {ORD}, 2, o_totalprice, NULL FROM orders)
-    SELECT o, kind, round(num, 2) AS num, row_number() OVER (ORDER BY kind, num NULLS FIRST, value NULLS FIRST, o) - 1 AS pos FROM v""")
+    WITH v AS (SELECT {ORD} AS o, 1 AS kind, 0 AS class, NULL AS num, NULL AS ts, {iri('customer', 'o_custkey')} AS value FROM orders
+      UNION ALL SELECT {ORD}, 1, 0, NULL, NULL, '{EX}Order' FROM orders
+      UNION ALL SELECT {ORD}, 2, 0, NULL, NULL, o_orderstatus FROM orders
+      UNION ALL SELECT {ORD}, 2, 0, NULL, NULL, o_orderpriority FROM orders
+      UNION ALL SELECT {ORD}, 2, 2, NULL, o_orderdate, NULL FROM orders
+      UNION ALL SELECT {ORD}, 2, 3, o_totalprice, NULL, NULL FROM orders)
+    SELECT o, kind, round(num, 2) AS num,
+      row_number() OVER (ORDER BY kind, class, ts NULLS FIRST, num NULLS FIRST, value NULLS FIRST, o) - 1 AS pos FROM v""")
 def order_of_mixed_terms(spark, sf):
-    g = one_graph(spark, sf, "orders").filter(C("p").isin(EX + "customer", EX + "status", EX + "total"))
-    b = op.pattern(g, V("o"), V("p"), V("v")).select("v", "o")
+    b = op.pattern(one_graph(spark, sf, "orders"), V("o"), V("p"), V("v")).select("v", "o")
     placed = row_index(b, ["v", "o"], out="pos")
-    return placed.select(value_of("o"), C("v")["kind"].alias("kind"), F.round(order_key(C("v"))["num"], 2).alias("num"), "pos")
+    return placed.select(value_of("o"), C("v")["kind"].alias("kind"), F.round(double_of(C("v")), 2).alias("num"), "pos")
+
+
+@query("order_of_dates", f"""
+    WITH d AS (SELECT {ORD} AS o, o_orderkey % 3 AS zone, o_orderdate + to_seconds(o_orderkey % 50000) AS ts FROM orders),
+    w AS (SELECT o, ts, CASE zone WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+        WHEN 1 THEN strftime(ts + INTERVAL 300 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:00'
+        ELSE strftime(ts - INTERVAL 210 MINUTE, '%Y-%m-%dT%H:%M:%S') || '-03:30' END AS date FROM d)
+    SELECT o, date, row_number() OVER (ORDER BY ts, date, o) - 1 AS pos FROM w""")
+def order_of_dates(spark, sf):
+    """Times written in three zones, in the order of their instants."""
+    key = C("o_orderkey")
+    at = C("o_orderdate").cast("timestamp") + F.make_interval(secs=(key % 50000))
+    zone = [(0, "Z"), (300, "+05:00"), (-210, "-03:30")]
+    text = [F.concat(F.date_format(at + F.make_interval(mins=F.lit(m)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(z)) for m, z in zone]
+    written = F.element_at(F.array(*text), (key % 3 + 1).cast("int"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(
+        literal_term(written, XSD_DATETIME).alias("date"), iri_term(entity("order", key)).alias("o"))
+    return values(row_index(orders, ["date", "o"], out="pos").withColumn("pos", F.struct(C("pos").alias("value")))
+                  ).withColumn("pos", C("pos").cast("long"))
 
 
 @query("top_orders", f"""
