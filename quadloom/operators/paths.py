@@ -52,40 +52,115 @@ def nodes(graph: DataFrame) -> DataFrame:
     return ends.select("s", F.col("s").alias("o"))
 
 
+class _Rounds:
+    """Frames stored in one scratch folder, each counted by the job that writes it."""
+
+    def __init__(self, spark):
+        self.spark, self.base, self.n = spark, scratch_path(spark, "closure"), 0
+
+    def write(self, frame: DataFrame) -> tuple[DataFrame, int, str]:
+        path, seen = f"{self.base}/{self.n}", Observation()
+        self.n += 1
+        frame.observe(seen, F.count("*").alias("n")).write.parquet(path)
+        return self.read(frame.schema, [path]), seen.get["n"], path
+
+    def read(self, schema, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)
+
+
+def _join(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select("s", F.col("o").alias("__mid")).join(
+        right.select(F.col("s").alias("__mid"), "o"), "__mid").select("s", "o")
+
+
+def _swapped(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
+
+
+def _walk(edges: DataFrame, start: DataFrame | None, max_steps: int | None, rounds: _Rounds) -> DataFrame:
+    """One step a round, from the pairs found last: for given starts or few steps."""
+    hops, _, _ = rounds.write(edges)
+    delta, new, path = rounds.write(hops if start is None else hops.join(start, "s", "left_semi"))
+    schema, known = delta.schema, [path]
+    while new > 0 and (max_steps is None or len(known) < max_steps):
+        grown = _join(delta, hops).distinct()
+        delta, new, path = rounds.write(grown.join(rounds.read(schema, known), ["s", "o"], "left_anti"))
+        known.append(path)
+    return rounds.read(schema, known)
+
+
+def _relabelled(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:
+    """``pairs`` with the nodes of the named columns replaced by their labels."""
+    out = pairs
+    for side in sides:
+        to = labels.select(F.col("node").alias(side), F.col("label").alias("__label"))
+        out = out.join(to, side, "left").withColumn(side, F.coalesce("__label", side)).drop("__label")
+    return out
+
+
+def _labels(mutual: DataFrame) -> DataFrame:
+    """A common label for nodes that reach each other, one hop further than their own partners."""
+    both = mutual.unionByName(_swapped(mutual))
+    least = both.groupBy("s").agg(F.min("o").alias("o")).select(F.col("s").alias("node"), F.least("s", "o").alias("label"))
+    return _relabelled(least, least.select("node", "label"), "label")
+
+
+def _reachable(edges: DataFrame, rounds: _Rounds) -> DataFrame:
+    """All pairs, paths twice as long every round, so the rounds grow with the logarithm of the
+    longest path.
+
+    A path longer than all known ones begins with a path found in the last round, so only
+    these are extended, by all known.  Nodes found to reach each other are merged at once: a
+    cycle of m nodes costs the m * m pairs that it has in the result and no more, and
+    long ways through it are not found again and again.
+    """
+    loops, _, _ = rounds.write(edges.where("s = o").select(F.col("s").alias("node")))
+    delta, new, path = rounds.write(edges.where("s <> o"))
+    schema, known, members = delta.schema, [path], None
+    while new > 0:
+        pairs = rounds.read(schema, known)
+        mutual, merged, _ = rounds.write(delta.join(_swapped(pairs), ["s", "o"], "left_semi"))
+        if merged:
+            labels, _, _ = rounds.write(_labels(mutual))
+            if members is None:
+                members = labels
+            else:
+                moved = _relabelled(members, labels, "label")
+                members, _, _ = rounds.write(moved.unionByName(labels.join(moved.select("node"), "node", "left_anti")))
+            delta, new, path = rounds.write(_relabelled(pairs, labels, "s", "o").where("s <> o").distinct())
+            known = [path]
+            continue
+        grown = _join(delta, pairs)
+        if members is not None:  # merging shortens paths unevenly: either half may be the new one
+            grown = grown.unionByName(_join(pairs, delta))
+        delta, new, path = rounds.write(grown.distinct().join(pairs, ["s", "o"], "left_anti"))
+        known.append(path)
+    pairs = rounds.read(schema, known)
+    if members is None:
+        return pairs.unionByName(loops.select(F.col("node").alias("s"), F.col("node").alias("o")))
+    inside = members.select("label", F.col("node").alias("s")).join(
+        members.select("label", F.col("node").alias("o")), "label").select("s", "o")
+    apart = loops.join(members, "node", "left_anti").select(F.col("node").alias("s"), F.col("node").alias("o"))
+    back = members.select(F.col("label").alias("node"), F.col("node").alias("label"))
+    return _relabelled(pairs, back, "s", "o").select("s", "o").unionByName(inside).unionByName(apart)
+
+
 def path_closure(graph: DataFrame, step, min_steps: int = 1, start: DataFrame | None = None,
                  max_steps: int | None = None) -> DataFrame:
     """``p+`` (``min_steps=1``), ``p*`` (0) or ``p?`` (0 with ``max_steps=1``), as a set.
 
-    Each round joins only the pairs found last with the edges and drops those already
-    known.  Every round is written to the shared scratch folder, so a lost executor
-    repeats at most one round and the plan never grows.  ``start`` (a one-column frame of
-    terms) limits the walk to paths from these resources.
+    Every round is written to the shared scratch folder, so a lost executor repeats at most
+    one round and the plan never grows.  ``start`` (a one-column frame of terms) limits
+    the walk to paths from these resources, which are then followed step by step.
     """
-    spark = graph.sparkSession
     edges = (path_step(graph, step) if isinstance(step, str) else step).select("s", "o").distinct()
-    base = scratch_path(spark, "closure")
-
-    def write(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Store a frame and count it in the same job."""
-        path, seen = f"{base}/{name}", Observation()
-        frame.observe(seen, F.count("*").alias("n")).write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path), seen.get["n"]
-
-    hops, _ = write(edges, "edges")
-    first = hops
+    rounds = _Rounds(graph.sparkSession)
     if start is not None:
         start = start.select(F.col(start.columns[0]).alias("s")).distinct()
-        first = hops.join(start, "s", "left_semi")
-    delta, new = write(first, "round-0")
-    schema, rounds = delta.schema, 1
-    while new > 0 and (max_steps is None or rounds < max_steps):
-        grown = delta.select("s", F.col("o").alias("__mid")).join(
-            hops.select(F.col("s").alias("__mid"), F.col("o")), "__mid"
-        ).select("s", "o").distinct()
-        known = spark.read.schema(schema).parquet(*[f"{base}/round-{i}" for i in range(rounds)])
-        delta, new = write(grown.join(known, ["s", "o"], "left_anti"), f"round-{rounds}")
-        rounds += 1
-    found = spark.read.schema(schema).parquet(*[f"{base}/round-{i}" for i in range(rounds)])
+    if start is None and max_steps is None:
+        found = _reachable(edges, rounds)
+    else:
+        found = _walk(edges, start, max_steps, rounds)
     if min_steps == 0:
         zero = nodes(graph) if start is None else start.select("s", F.col("s").alias("o"))
         found = found.unionByName(zero).distinct()

@@ -1,12 +1,13 @@
 """Joins, closure, paging and grouping against brute force on small data with hot keys and nulls."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom import operators as op
+from quadloom.operators import paths
 from quadloom.operators.joins import order_patterns
 from quadloom.operators.modifiers import file_order, number_copies, row_index
 from quadloom.session import scratch_root
@@ -110,6 +111,44 @@ def test_star_equals_joins_on_a_hub(spark):
     assert plain(op.star(small, attributes, functional=("a", "b", "c"))) == plain(op.star(small, attributes))
 
 
+def reach_of(edges):
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    found = set()
+    for a in list(out):
+        todo = list(out[a])
+        while todo:
+            b = todo.pop()
+            if (a, b) not in found:
+                found.add((a, b))
+                todo += out[b]
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_closure_merges_cycles(spark, seed):
+    """A ring, a ring of rings, dense groups, loops and tails between them."""
+    rng = random.Random(seed)
+    edges = {(f"r{i}", f"r{(i + 1) % 17}") for i in range(17)}
+    edges |= {(f"g{k}n{i}", f"g{k}n{rng.randrange(9)}") for k in range(5) for i in range(9) for _ in range(2)}
+    edges |= {(f"g{k}n0", f"g{(k + 1) % (5 if seed % 2 else 9)}n0") for k in range(5)} | {("r3", "g0n1"), ("g4n2", "t0")}
+    edges |= {(f"t{i}", f"t{i + 1}") for i in range(11)} | {("t4", "t4"), ("alone", "alone")}
+    g = graph_of(spark, [(a, "p", b) for a, b in edges])
+    got = plain(op.path_closure(g, "p"))
+    assert set(got) == reach_of(edges) and max(got.values()) == 1
+
+
+def test_closure_rounds_are_logarithmic(spark, monkeypatch):
+    written = []
+    write = paths._Rounds.write
+    monkeypatch.setattr(paths._Rounds, "write", lambda self, frame: written.append(1) or write(self, frame))
+    edges = {(str(i), str(i + 1)) for i in range(150)} | {(f"c{i}", f"c{(i + 1) % 60}") for i in range(60)}
+    got = plain(op.path_closure(graph_of(spark, [(a, "p", b) for a, b in edges]), "p"))
+    assert set(got) == reach_of(edges)
+    assert len(written) <= 30
+
+
 def test_closure_of_random_graph(spark):
     rng = random.Random(3)
     edges = {(str(rng.randrange(30)), str(rng.randrange(30))) for _ in range(45)} | {("0", str(i)) for i in range(20)}

@@ -4,15 +4,15 @@ from pyspark.sql import functions as F
 
 from quadloom import functions as fn
 from quadloom import operators as op
-from quadloom.fixtures import COMMENT, EX, GEO, LABEL, PARTS, PREFIXES, TRADE, table_quads
+from quadloom.fixtures import COMMENT, EX, GEO, LABEL, PARTS, PREFIXES, TRADE, entity, table_quads
 from quadloom.operators.paths import path_inv, path_step
 from quadloom.terms import (
-    RDF_TYPE, XSD_INTEGER, Iri, Lit, Var, value_of, values,
+    RDF_TYPE, XSD_INTEGER, Iri, Lit, Var, iri_term, value_of, values,
 )
 
 from .registry import CUST, DOC, NAT, ORD, PART, REG, SUPP, graph, iri, one_graph, query
 
-V = Var
+V, C = Var, F.col
 
 
 def ex(name: str) -> Iri:
@@ -444,6 +444,25 @@ def closure_zero_or_more_from(spark, sf):
     return values(op.path_closure(g, EX + "broader", min_steps=0, start=start))
 
 
+@query("closure_of_cycles", f"""
+    WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 2 AS o FROM part WHERE p_partkey > 0
+      UNION SELECT p_partkey // 4, p_partkey FROM part WHERE p_partkey % 16 = 1 AND p_partkey > 4
+      UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 5 = 3),
+    r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s)
+    SELECT '{EX}part/' || s AS s, '{EX}part/' || o AS o FROM r""")
+def closure_of_cycles(spark, sf):
+    """The part hierarchy with links back to parts two levels below, and links to themselves."""
+    key = C("p_partkey")
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+
+    def links(df, s, o):
+        return df.select(iri_term(entity("part", s)).alias("s"), iri_term(entity("part", o)).alias("o"))
+    edges = links(p.filter(key > 0), key, F.floor(key / 2)).unionByName(
+        links(p.filter((key % 16 == 1) & (key > 4)), F.floor(key / 4), key)).unionByName(
+        links(p.filter(key % 5 == 3), key, key))
+    return values(op.path_closure(one_graph(spark, sf, "part"), edges))
+
+
 @query("closure_cyclic", f"""
     WITH RECURSIVE {KNOWS_SQL.replace('knows AS', 'knows(a, b) AS')},
       hop(s, o) AS (SELECT a, b FROM knows UNION SELECT h.s, k.b FROM hop h JOIN knows k ON h.o = k.a)
