@@ -2,6 +2,7 @@ from .aggregates import (  # noqa: F401
     avg_term, count, count_distinct, group, group_concat, having, maximum, minimum, sample,
     sum_term, triple_count,
 )
+from .cycles import squares, triangles  # noqa: F401
 from .joins import (  # noqa: F401
     bgp, compatible_join, exists, minus, mutual_pairs, optional, order_patterns, pattern_counts, product,
     reduce_by, star, union,

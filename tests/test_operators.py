@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadloom import operators as op
 from quadloom.operators import paths
+from quadloom.operators.cycles import directed_links
 from quadloom.operators.joins import order_patterns
 from quadloom.operators.modifiers import file_order, number_copies, row_index
 from quadloom.session import scratch_root
@@ -149,6 +150,35 @@ def test_closure_rounds_are_logarithmic(spark, monkeypatch):
     assert len(written) <= 30
 
 
+@pytest.mark.parametrize("block", [1000, 2])
+def test_cycles_of_a_random_graph(spark, block):
+    rng = random.Random(8)
+    nodes = [f"n{i}" for i in range(26)]
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(110)] + [("hub", n) for n in nodes] + [("x", "x")]
+    links = spark.createDataFrame([*pairs, *pairs[:9], (None, "n1"), ("n2", None)], "u string, v string")
+    near = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    three = {(a, b, c) for a in near for b in near[a] for c in near[b] & near[a] if a < b < c}
+    assert Counter(tuple(r) for r in op.triangles(links, block).collect()) == Counter(three)
+    four = sum(len(near[a] & near[c]) * (len(near[a] & near[c]) - 1) // 2 for a in near for c in near if a < c)
+    assert sum(r.between * (r.between - 1) // 2 for r in op.squares(links, block).collect()) == four // 2
+
+
+def test_a_hub_sends_out_few_links(spark):
+    """10^5 links of one node: the pairs that meet stay below links^1.5, here below the links."""
+    n = 100_000
+    spokes = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    rim = spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    links = spokes.unionByName(rim)
+    ends = directed_links(links)
+    fan = ends.groupBy("u").agg(F.first("out").alias("out")).agg(F.sum(F.col("out") * F.col("out")), F.max("out")).first()
+    assert fan[0] <= 5 * n and fan[1] <= 3
+    assert op.triangles(links).count() == n - 1
+
+
 def test_closure_of_random_graph(spark):
     rng = random.Random(3)
     edges = {(str(rng.randrange(30)), str(rng.randrange(30))) for _ in range(45)} | {("0", str(i)) for i in range(20)}

@@ -480,3 +480,31 @@ def zero_or_one_step(spark, sf):
     return values(op.path_closure(g, EX + "broader", min_steps=0, start=start, max_steps=1))
 
 
+# ---------------------------------------------------------------- cyclic patterns
+def lineitem_links(spark, sf):
+    """Orders, parts and suppliers linked where a line item names both."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    order, part, supplier = entity("order", C("l_orderkey")), entity("part", C("l_partkey")), entity("supplier", C("l_suppkey"))
+    out = l.select(order.alias("a"), part.alias("b"))
+    return out.unionByName(l.select(part.alias("a"), supplier.alias("b"))).unionByName(
+        l.select(supplier.alias("a"), order.alias("b")))
+
+
+@query("triangles_of_orders", f"""
+    SELECT DISTINCT {iri('order', 'x.l_orderkey')} AS a, {iri('part', 'x.l_partkey')} AS b, {iri('supplier', 'y.l_suppkey')} AS c
+    FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey JOIN lineitem z ON z.l_partkey = x.l_partkey AND z.l_suppkey = y.l_suppkey""")
+def triangles_of_orders(spark, sf):
+    """An order, a part in it and a supplier in it who supplies that part (to any order)."""
+    return op.triangles(lineitem_links(spark, sf))
+
+
+@query("squares_of_parts", """
+    WITH l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+    n AS (SELECT x.s AS s1, y.s AS s2, count(*) AS n FROM l x JOIN l y ON x.p = y.p AND x.s < y.s GROUP BY ALL)
+    SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS squares FROM n""")
+def squares_of_parts(spark, sf):
+    """How often two suppliers share two parts."""
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    pairs = op.squares(l.select(entity("part", C("l_partkey")).alias("a"), entity("supplier", C("l_suppkey")).alias("b")))
+    n = C("between")
+    return pairs.agg(F.sum((n * (n - 1) / 2).cast("long")).alias("squares"))
