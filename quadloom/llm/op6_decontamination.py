@@ -5,8 +5,9 @@ dropped and A-Z lower-cased, one word staying one word.  Windows of eight canoni
 hashed and joined with the windows of the benchmark; items shorter than that are one window.
 For the matching windows the words behind the placeholders are compared: an occurrence with other
 numbers or names matches when, over all its windows, equal slots of the item hold equal words in
-the document and different ones different words.  An item is found when at least half of its
-windows match in that way, or word for word.
+the document and different ones different words.  Windows of the plain lower-cased words are joined as well, so a
+copy in other letter case or line breaks matches word for word.  An item is found when at least half
+of its windows match in either way.
 
 Edge cases: NULL or empty texts have no windows; an item without words cannot be found; repeated
 windows and rows count once per item and document row; documents with equal ids are told apart
@@ -18,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, words
+from .common import SPACE_CLASS, ascii_lower, materialise
 
 WIDTH = 8
 SHARE = 0.5
 BROADCAST_WINDOWS = 500_000  # about 20 MB
+BROADCAST_DOCS = 500_000  # about 12 MB of ids of documents with a hit
 
 # Units that may follow a number.
 UNITS = ("km cm mm m kg g mg t l ml s ms min h kmh mph mi ft in lb lbs oz usd eur gbp percent percentage "
@@ -33,8 +35,8 @@ NUMBER, NAME, UNIT = "\u0298num", "\u0298name", "\u0298unit"
 #: A number word may carry signs, separators and a currency or percent mark.
 _NUMBER_WORD = rf"(?<![^\s])[(\[\"'$€£+-]*\d[\d.,:/]*[)\]\"'%.,;:!?$€£]*(?![^\s])"
 #: A capitalised word after a word that does not end a sentence.
-_NAME_WORD = r"(?<=[\p{Ll}\d,;][ ])\p{Lu}[\p{L}'’-]*"
-_UNIT_WORD = rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?=[.,;:!?)]*(?:\s|$))"
+_NAME_WORD = r"\p{Lu}(?<=[\p{Ll}\d,;]\s{1,3}\p{Lu})[\p{L}'’-]*"
+_UNIT_WORD = rf"(?i)(?<={NUMBER}\s{{1,3}})(?:{'|'.join(UNITS)})(?=[.,;:!?)]*(?:\s|$))"
 _DROPPED = r"[^\p{L}\p{M}\p{N}\s-]+"
 
 
@@ -44,12 +46,19 @@ def canonical(text: Column) -> tuple[Column, Column]:
     marked = F.regexp_replace(t, _NUMBER_WORD, NUMBER)
     marked = F.regexp_replace(marked, _NAME_WORD, NAME)
     marked = F.regexp_replace(marked, _UNIT_WORD, UNIT)
-    plain = lambda c: words(ascii_lower(F.regexp_replace(c, _DROPPED, "")))
+    # one use of each text: an expression that is named twice would be computed twice
+    plain = lambda c: F.array_remove(F.split(
+        ascii_lower(F.regexp_replace(c, _DROPPED, "")), SPACE_CLASS + "+"), "")
     return plain(marked), plain(t)
 
 
+def _each(words: Column) -> Column:
+    """Hash of every word; a window is hashed from these."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _hashes(width: int) -> Column:
-    """Hash of every window of ``width`` words of ``_t``; NULL when the text is shorter."""
+    """Hash of every window of ``width`` words, from the word hashes ``_t``; NULL when there are fewer."""
     n = F.size("_t")
     return F.when(n >= width, F.transform(
         F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice("_t", i, F.lit(width)))))
@@ -57,7 +66,7 @@ def _hashes(width: int) -> Column:
 
 def _windows(rows: DataFrame, widths: list[int]) -> DataFrame:
     """(key columns, width, at, h): one row per window of the given widths."""
-    keys = [c for c in rows.columns if c not in ("_t", "_p")]
+    keys = [c for c in rows.columns if c != "_t"]
     out = None
     for width in widths:
         part = rows.select(*keys, F.posexplode(_hashes(width)).alias("at", "h")).withColumn("width", F.lit(width))
@@ -66,7 +75,8 @@ def _windows(rows: DataFrame, widths: list[int]) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, items (number of windows), width, h, slots of every window of the benchmark."""
+    """item_id, items (number of windows), width, item_at, h and q (hashes of the template and of the
+    plain words), window, plain of every window of the benchmark."""
     t, p = canonical(F.col("text"))
     items = benchmark.select("item_id", t.alias("_t"), p.alias("_p")).where(F.size("_t") > 0)
     width_of = F.least(F.size("_t"), F.lit(width))
@@ -75,7 +85,8 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                         F.explode(starts).alias("i"))
     window, plain = F.slice("_t", F.col("i"), F.col("width")), F.slice("_p", F.col("i"), F.col("width"))
     return rows.select("item_id", "items", "width", (F.col("i") - 1).alias("item_at"),
-                       F.xxhash64(window).alias("h"), window.alias("window"), plain.alias("plain"))
+                       F.xxhash64(_each(window)).alias("h"), F.xxhash64(_each(plain)).alias("q"),
+                       window.alias("window"), plain.alias("plain"))
 
 
 def _slots(window: Column, item: Column, doc: Column) -> Column:
@@ -92,17 +103,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     stats = items.groupBy("width").agg(F.count("*").alias("n")).collect()  # one row per width, at most 8
     if not stats:
         return docs.sparkSession.createDataFrame(
-            [], "doc_id bigint, item_id bigint, windows bigint, matched bigint, exact bigint")
+            [], "doc_id bigint, text_id bigint, item_id bigint, windows bigint, matched bigint, exact bigint")
     t, p = canonical(F.col("text"))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    prepared = base.select("doc_id", "text_id", t.alias("_t"))
-    hits = _windows(prepared, sorted(r.width for r in stats))
-    keys = items.select("width", "h").distinct()
-    small = sum(r.n for r in stats) <= BROADCAST_WINDOWS
-    hits = hits.join(F.broadcast(keys) if small else keys, ["width", "h"], "left_semi")
+    widths, ids = sorted(r.width for r in stats), ["doc_id", "text_id"]
+    both = [_windows(base.select(*ids, _each(c).alias("_t")), widths).withColumn("plain", F.lit(flag))
+            for c, flag in ((t, False), (p, True))]
+    wanted = [items.select("width", F.col(c).alias("h"), F.lit(flag).alias("plain")) for c, flag in (("h", False), ("q", True))]
+    keys = wanted[0].unionByName(wanted[1]).distinct()
+    small = 2 * sum(r.n for r in stats) <= BROADCAST_WINDOWS
+    hits = both[0].unionByName(both[1]).join(F.broadcast(keys) if small else keys, ["width", "h", "plain"], "left_semi")
     hits = materialise(hits, "window-hits")
-    # only documents with a hit are canonicalised again, for the words behind the placeholders
-    where = hits.select("doc_id", "text_id").distinct()
+    copied = hits.where("plain").select(*ids, "width", F.col("h").alias("q")).distinct().join(
+        items.select("item_id", "items", "width", "q", "h"), ["width", "q"])
+    copied = copied.select(*ids, "item_id", "items", F.struct("h", F.lit(True).alias("exact")).alias("hit"))
+    hits = hits.where("not plain").drop("plain")
+    # only documents with a hit are canonicalised again, for the words behind the placeholders; while
+    # their ids are few they are sent to the texts, else texts are shuffled to them
+    where = materialise(hits.select(*ids).distinct(), "hit-documents")
+    where = F.broadcast(where) if where.count() <= BROADCAST_DOCS else where
     again = base.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_id", "_text_id").join(
         where, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_id") == F.col("text_id"))).drop("_id", "_text_id")
     plain = again.dropDuplicates(["doc_id", "text_id"]).select("doc_id", "text_id", p.alias("_p"))
@@ -123,6 +142,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     consistent = (F.size("slots") == distinct("a")) & (F.size("slots") == distinct("b"))
     good = occurrence.select("doc_id", "text_id", "item_id", "items", F.explode(F.filter(
         "hits", lambda x: x["exact"] | consistent)).alias("hit"))
+    good = good.unionByName(copied)
     per = good.groupBy("doc_id", "text_id", "item_id").agg(
         F.first("items").cast("bigint").alias("windows"), F.countDistinct("hit.h").alias("matched"),
         F.countDistinct(F.when(F.col("hit.exact"), F.col("hit.h"))).alias("exact"))

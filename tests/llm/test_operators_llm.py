@@ -512,3 +512,17 @@ def test_pipeline_stages(spark, sf):
     masked = {r.doc_id: r.text for r in seen[4].collect()}
     assert ids[4] == ids[3] and all(not brute_pii(t or "") for t in masked.values())
     assert ids[5] == ids[4] and pd.Series([r.taken for r in seen[5].collect()]).sum() > 0
+
+
+def test_leaks_in_other_case_or_line_breaks(spark):
+    item = ("In spring young Anna walked 12 km to visit her Uncle Paul in Bremen and paid 3 euros for the ferry, "
+            "then rested near Lake Constance with her friend Tom for 5 days")
+    other = "while nobody else went anywhere at all that day because the weather was far too cold for walking about outside"
+    copies = [item, item.lower(), item.upper(), item.replace(" ", "\n"), item.replace(" ", "  "),
+              f"{other} {item.lower()} {other}", other, None, ""]
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id bigint, text string")
+    docs = table(spark, copies)
+    assert sorted(r.doc_id for r in leaks(docs, bench).collect()) == [0, 1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in without_leaks(docs, bench).collect()) == [6, 7, 8]
+    empty = bench.where("item_id < 0")
+    assert without_leaks(docs, empty).count() == len(copies) and leaks(docs, empty).count() == 0
