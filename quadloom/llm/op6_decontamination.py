@@ -35,8 +35,8 @@ NUMBER, NAME, UNIT = "\u0298num", "\u0298name", "\u0298unit"
 #: A number word may carry signs, separators and a currency or percent mark.
 _NUMBER_WORD = rf"(?<![^\s])[(\[\"'$€£+-]*\d[\d.,:/]*[)\]\"'%.,;:!?$€£]*(?![^\s])"
 #: A capitalised word after a word that does not end a sentence.
-_NAME_WORD = r"\p{Lu}(?<=[\p{Ll}\d,;]\s{1,3}\p{Lu})[\p{L}'’-]*"
-_UNIT_WORD = rf"(?i)(?<={NUMBER}\s{{1,3}})(?:{'|'.join(UNITS)})(?=[.,;:!?)]*(?:\s|$))"
+_NAME_WORD = r"\p{Lu}(?<=[\p{Ll}\d,;][ ]\p{Lu})[\p{L}'’-]*"
+_UNIT_WORD = rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?=[.,;:!?)]*(?:\s|$))"
 _DROPPED = r"[^\p{L}\p{M}\p{N}\s-]+"
 
 
