@@ -210,19 +210,32 @@ def _text_key(c: Column) -> Column:
 
 
 def _number_key(t: Column) -> Column:
-    """Sign, exponent and 17 digits of the double; numbers that only differ beyond that follow by
-    their exact digits.  Digits of negative numbers are complemented."""
+    """Sign, exponent and 17 digits of the double (complemented below zero), then what the double
+    cannot tell.
+
+    Numbers of up to 15 characters differ as doubles when they differ at all.  A longer one is placed
+    below, at or above its double, with its exact digits.
+    """
+    def sized(x: Column, shown: Column) -> Column:
+        exponent = F.lpad((F.substr(shown, F.lit(20)).try_cast("int") + 400).cast("string"), 3, "0")
+        size = F.concat(exponent, F.substr(shown, F.lit(1), F.lit(18)))
+        return F.when(x > 0, F.concat(F.lit("3"), size)).otherwise(F.concat(F.lit("1"), F.translate(size, DIGITS, COMPLEMENT)))
+
+    def placed(x: Column) -> Column:
+        text = F.array(F.format_string("%.16e", F.abs(x)))
+        return (F.when(F.isnan(x), "5").when(x == float("inf"), "4").when(x == float("-inf"), "0").when(x == 0, "2")
+                .otherwise(F.transform(text, lambda shown: sized(x, shown))[0]))
+
     d = double_of(t)
-    shown = F.format_string("%.16e", F.abs(d))
-    whole = F.abs(F.when(t["dt"].isin(INTEGER_TYPES), t["value"].try_cast("decimal(38,0)"))).cast("string")
-    exact = F.coalesce(F.concat(F.lpad(whole, 38, "0"), F.lit("." + "0" * 18)),
-                       F.lpad(F.abs(F.coalesce(decimal_of(t), d.try_cast("decimal(38,18)"))).cast("string"), 57, "0"),
-                       F.lit(""))
-    exponent = F.lpad((F.substr(shown, F.lit(20)).cast("int") + 400).cast("string"), 3, "0")
-    size = F.concat(exponent, F.substr(shown, F.lit(1), F.lit(18)), exact)
-    return (F.when(F.isnan(d), "5").when(d == float("inf"), "4").when(d == float("-inf"), "0").when(d == 0, "2")
-            .when(d > 0, F.concat(F.lit("3"), size))
-            .otherwise(F.concat(F.lit("1"), F.translate(size, DIGITS, COMPLEMENT))))
+    # one row of an array binds a value: a column that is named twice may be computed twice
+    double = F.transform(F.array(d), placed)[0]
+    exact, near = decimal_of(t), d.try_cast("decimal(38,18)")
+    whole = decimal_of(t, "decimal(38,0)")
+    digits = F.coalesce(F.lpad(F.abs(exact).cast("string"), 57, "0"), F.lpad(F.abs(whole).cast("string"), 57, "0"), F.lit(""))
+    place = F.when(exact < near, "0").when(exact > near, "2").otherwise("1")
+    signed = F.when(d < 0, F.translate(digits, DIGITS, COMPLEMENT)).otherwise(digits)
+    rest = F.when(F.length(t["value"]) <= 15, "1").otherwise(F.concat(place, signed))
+    return F.concat(double, rest)
 
 
 def order_key(t: Column) -> Column:
@@ -239,5 +252,6 @@ def order_key(t: Column) -> Column:
                 .when(double_of(t).isNotNull(), F.concat(F.lit("3"), _number_key(t)))
                 .when(time.isNotNull(), F.concat(F.lit("2"), instant))
                 .when(flag.isNotNull(), F.when(flag, "11").otherwise("10")).otherwise("0"))
-    rest = [_text_key(t[f]) for f in ("value", "lang", "dt")]
-    return F.when(t.isNotNull(), F.concat(t["kind"].cast("string"), by_value, *rest).cast("binary"))
+    # language tags and type names hold no NUL character
+    key = F.concat(t["kind"].cast("string"), by_value, _text_key(t["value"]), t["lang"], F.lit(END), t["dt"])
+    return F.when(t.isNotNull(), key.cast("binary"))
