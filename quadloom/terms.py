@@ -226,16 +226,19 @@ def _number_key(t: Column) -> Column:
         return (F.when(F.isnan(x), "5").when(x == float("inf"), "4").when(x == float("-inf"), "0").when(x == 0, "2")
                 .otherwise(F.transform(text, lambda shown: sized(x, shown))[0]))
 
-    d = double_of(t)
-    # one row of an array binds a value: a column that is named twice may be computed twice
-    double = F.transform(F.array(d), placed)[0]
-    exact, near = decimal_of(t), d.try_cast("decimal(38,18)")
-    whole = decimal_of(t, "decimal(38,0)")
-    digits = F.coalesce(F.lpad(F.abs(exact).cast("string"), 57, "0"), F.lpad(F.abs(whole).cast("string"), 57, "0"), F.lit(""))
-    place = F.when(exact < near, "0").when(exact > near, "2").otherwise("1")
-    signed = F.when(d < 0, F.translate(digits, DIGITS, COMPLEMENT)).otherwise(digits)
-    rest = F.when(F.length(t["value"]) <= 15, "1").otherwise(F.concat(place, signed))
-    return F.concat(double, rest)
+    def beyond(row: Column) -> Column:
+        text, d = row["text"], row["d"]
+        exact, near = (F.when(row["exact"], text.try_cast("decimal(38,18)")), d.try_cast("decimal(38,18)"))
+        whole = F.when(row["exact"], text.try_cast("decimal(38,0)"))
+        digits = F.coalesce(F.abs(exact).cast("string"), F.abs(whole).cast("string"), F.lit(""))
+        digits = F.when(digits != "", F.lpad(digits, 57, "0")).otherwise("")
+        place = F.when(exact < near, "0").when(exact > near, "2").otherwise("1")
+        signed = F.when(d < 0, F.translate(digits, DIGITS, COMPLEMENT)).otherwise(digits)
+        return F.when(F.length(text) <= 15, "1").otherwise(F.concat(place, signed))
+
+    # one row of an array binds its values: a column that is named twice may be computed twice
+    row = F.struct(double_of(t).alias("d"), t["dt"].isin(INTEGER_TYPES + [XSD_DECIMAL]).alias("exact"), t["value"].alias("text"))
+    return F.transform(F.array(row), lambda r: F.concat(placed(r["d"]), beyond(r)))[0]
 
 
 def order_key(t: Column) -> Column:
