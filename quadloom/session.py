@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A driver-side list at most this long may be broadcast as a lookup table.
 LOOKUP_ROWS = 200_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "quadloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,13 +58,56 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write a table; the shuffle files of the write go with it and do not wait for a collection
+    of garbage on the driver."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at the files."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, dropped at the end of a ``with`` block or before.
+    What the block returns must not read them: write it with ``materialise`` first."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[table for table, _ in self._held])
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Like ``materialise``; a write that fails leaves its folder to the end of the block."""
+        path = scratch_path(self.spark, label)
+        self._held.append((None, path))
+        _write(df, path)
+        self._held[-1] = (self.spark.read.schema(df.schema).parquet(path), path)
+        return self._held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the folders of these tables; others are left alone."""
+        gone = [held for held in self._held if any(held[0] is t for t in tables)]
+        self._held = [held for held in self._held if not any(held[0] is t for t in tables)]
+        for _, path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lookup(spark: SparkSession, rows: list, schema) -> DataFrame:
     """A DataFrame from a driver-side list, broadcast only when its length is small."""
     df = spark.createDataFrame(rows, schema)
