@@ -7,11 +7,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.session import materialise, scratch_path  # noqa: F401
+from quadloom.session import Scratch, materialise, scratch_path  # noqa: F401
 
 # The white space that separates words.
 SPACE = " \t\n\x0b\f\r"
@@ -20,6 +21,7 @@ NO_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SLICE_BYTES = 4 << 20  # of text that a worker looks at together
 
 
 def ascii_lower(c: Column) -> Column:
@@ -52,6 +54,17 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_bytes(batches, size: int = SLICE_BYTES):
+    """The rows of the batches in slices of about ``size`` bytes of text, whole texts each, so that
+    what a worker holds does not grow with the rows of a batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // size)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit values."""
     x = (x ^ (x >> np.uint64(32))) * MIX

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,16 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable from every node of ``pairs(a, b)``."""
-    edges = materialise(pairs.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        edges = materialise(_star(_star(edges, True), False), "edges")
-        got = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (got.n, got.s) == mark:
-            break
-        mark = (got.n, got.s)
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+def components(pairs: DataFrame, keep=materialise) -> DataFrame:
+    """(node, component): the least node reachable from every node of ``pairs(a, b)``, written by
+    ``keep``.  Only the links of the last round are held."""
+    with Scratch(pairs.sparkSession) as scratch:
+        edges = scratch.table(pairs.where("a <> b").select(
+            F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        mark = None
+        while True:
+            last, edges = edges, scratch.table(_star(_star(edges, True), False), "edges")
+            scratch.drop(last)
+            got = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+            if (got.n, got.s) == mark:
+                break
+            mark = (got.n, got.s)
+        nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return keep(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()),
+                    "components")

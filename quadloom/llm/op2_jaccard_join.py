@@ -23,17 +23,17 @@ frequent, are sent to the tasks; the result is the same for any choice.
 Shingles are compared by 64-bit hashes.  Edge cases: NULL and empty texts have the empty set and are
 linked with nothing; shorter texts are one shingle; equal texts and repeated rows share a class;
 NULL ids belong to their class but never name it, and a class without any id is compared with no
-other; an empty table gives no rows.
+other; an empty table gives no rows; rows of one id with different texts are told apart by their text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, by_bucket, encoded, map_arrow, materialise, shingles, utf8
+from .common import Scratch, buckets_for, by_bucket, by_bytes, encoded, map_arrow, materialise, shingles, utf8
 from .components import components
 from .packed import DROP, FLUSH, gather, pack, signature, splits, unpack
 
@@ -70,9 +70,14 @@ def _int_block(x, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def text_id() -> Column:
+    """Names a text among those of one doc_id."""
+    return F.xxhash64(utf8(F.col("text")))
+
+
 def profile(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """One pass: a row (doc_id, sig, n) for every document in bucket -1, and blocks of shingle
-    fingerprints of the distinct sets of each task in buckets 0 and up."""
+    """One pass: a row (doc_id, text_id, sig, n) for every document in bucket -1, and blocks of
+    shingle fingerprints of the distinct sets of each task in buckets 0 and up."""
 
     def run(batches):
         keys, size, seen = [], 0, set()
@@ -82,16 +87,16 @@ def profile(docs: DataFrame, n_buckets: int) -> DataFrame:
             at = splits(f, n_buckets)
             parts = [b for b in range(n_buckets) if at[b] < at[b + 1]]
             none = pa.nulls(len(parts), pa.int64())
-            return {"bucket": pa.array(parts, pa.int32()), "doc_id": none, "sig": none,
+            return {"bucket": pa.array(parts, pa.int32()), "doc_id": none, "text_id": none, "sig": none,
                     "n": pa.nulls(len(parts), pa.int32()), **dict.fromkeys(WORDS, none),
                     "block": pa.array([pack(f[at[b]:at[b + 1]]) for b in parts], pa.binary())}
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             sets = [token_set(h) for h in encoded(batch.column("text").to_pylist())[0]]
             sigs = [signature(s) for s in sets]
             bits = np.array([bitmap(s) for s in sets], np.int64).reshape(-1, len(WORDS))
             yield {"bucket": pa.array([-1] * len(sets), pa.int32()), "doc_id": batch.column("doc_id"),
-                   "sig": pa.array(sigs, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
+                   "text_id": batch.column("text_id"), "sig": pa.array(sigs, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
                    **{w: pa.array(np.ascontiguousarray(bits[:, k])) for k, w in enumerate(WORDS)},
                    "block": pa.nulls(len(sets), pa.binary())}
             for s, g in zip(sets, sigs):
@@ -105,8 +110,8 @@ def profile(docs: DataFrame, n_buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return map_arrow(docs.select("doc_id", utf8(F.col("text")).alias("text")), run,
-                     "bucket int, doc_id bigint, sig bigint, n int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, block binary")
+    return map_arrow(docs.select("doc_id", text_id().alias("text_id"), utf8(F.col("text")).alias("text")), run,
+                     "bucket int, doc_id bigint, text_id bigint, sig bigint, n int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, block binary")
 
 
 def frequent(blocks: DataFrame, n_buckets: int) -> DataFrame:
@@ -189,7 +194,7 @@ def postings(docs: DataFrame, n_buckets: int, heavy) -> DataFrame:
             return {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(
                 [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("f", "owner", "sig", "n", "l", "pos")])}
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             for h in encoded(batch.column("text").to_pylist())[0]:
                 tokens = token_set(h)
                 sig = signature(tokens)
@@ -245,10 +250,9 @@ def postings(docs: DataFrame, n_buckets: int, heavy) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(sig, text): one text for every class in ``named(sig, rep)``."""
-    texts = docs.select(F.col("doc_id").alias("rep"), utf8(F.col("text")).alias("text"))
-    found = texts.join(named, "rep")
-    return found.dropDuplicates(["sig"])
+    """(sig, text): one text for every class in ``named(sig, rep, rep_text)``."""
+    texts = docs.select(F.col("doc_id").alias("rep"), text_id().alias("rep_text"), utf8(F.col("text")).alias("text"))
+    return texts.join(named, ["rep", "rep_text"]).dropDuplicates(["rep", "rep_text"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -292,18 +296,21 @@ def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return named.join(spans, "f", "left_semi")
 
 
-def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame | None, DataFrame]:
+def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch,
+          rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all linked classes, and the verified links (a, b); ``reps`` holds a
     document and the bitmap of each class."""
     wanted = entries.select("sig").distinct()
-    texts = materialise(texts_of(docs, reps.select("sig", "rep").join(wanted, "sig", "left_semi")), "class-texts")
+    texts = scratch.table(texts_of(docs, reps.select("sig", "rep", "rep_text").join(wanted, "sig", "left_semi")), "class-texts")
     degree = entries.groupBy("sig").agg(F.count("*").alias("degree"))
-    entries = materialise(entries.join(degree.join(reps.drop("rep"), "sig"), "sig"), "entries")
+    plain, entries = entries, scratch.table(
+        entries.join(degree.join(reps.drop("rep", "rep_text"), "sig"), "sig"), "entries")
+    scratch.drop(plain)
     comp, tested, found = None, None, None
     for k in range(rounds + 1):
         rows = _open_lists(entries, comp)
         if comp is not None:
-            rows = materialise(rows, "open-lists")
+            rows = scratch.table(rows, "open-lists")
             if rows.isEmpty():
                 break
         if k < rounds:
@@ -323,40 +330,68 @@ def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, rounds: int = RO
                      .where("m >= need").select("a", "b"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidates")
-        good = materialise(verified(pairs, texts), "links")
+        pairs = scratch.table(pairs, "candidates")
+        scratch.drop(rows)
+        good = scratch.table(verified(pairs, texts), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
-        comp = components(found)
+        last, comp = comp, components(found, scratch.table)
+        scratch.drop(last)
     return comp, found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class (of equal sets), n_links (verified links between
-    the class and others) for every row of ``docs(doc_id, text)``."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, n, sig (class of equal sets), component (of classes), component_id, n_confirmed for
+    every row of ``docs(doc_id, text)``, as a stored table; all others of the way are dropped."""
     n_buckets = 2 * buckets_for(docs)
-    profiled = materialise(profile(docs, n_buckets), "profile")
-    rows = profiled.where("bucket = -1").select("doc_id", "sig", "n", *WORDS)
-    heavy = heavy_list(materialise(frequent(profiled.where("bucket >= 0").select("bucket", "block"), n_buckets), "frequent"))
-    entries = materialise(postings(docs, n_buckets, heavy), "postings")
-    reps = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(w).alias(w) for w in WORDS])
-    comp, found = links(entries, docs, reps.where("rep IS NOT NULL"))
-    classes = reps.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "key", F.coalesce("component", "sig"))
-    least = classes.groupBy("key").agg(F.min("rep").alias("component_id"))
-    degree = (found.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links")))
-    named = classes.join(least, "key").join(degree, "sig", "left").select("sig", "component_id", "n_links")
-    out = rows.join(named, "sig", "left")
+    with Scratch(docs.sparkSession) as scratch:
+        profiled = scratch.table(profile(docs, n_buckets), "profile")
+        counts = scratch.table(frequent(profiled.where("bucket >= 0").select("bucket", "block"), n_buckets), "frequent")
+        heavy = heavy_list(counts)
+        rows = scratch.table(profiled.where("bucket = -1").drop("bucket", "block"), "profile-rows")
+        scratch.drop(profiled, counts)
+        entries = scratch.table(postings(docs, n_buckets, heavy), "postings")
+        reps = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by("text_id", "doc_id").alias("rep_text"),
+                                       *[F.first(w).alias(w) for w in WORDS])
+        comp, found = links(entries, docs, reps.where("rep IS NOT NULL"), scratch)
+        grouped = reps.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+            "component", F.coalesce("component", "sig"))
+        least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+        degree = found.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_confirmed"))
+        named = grouped.join(least, "component").join(degree, "sig", "left").select(
+            "sig", "component", "component_id", "n_confirmed")
+        return materialise(rows.drop(*WORDS).join(named, "sig", "left"), "near-duplicates")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class (of equal sets), n_confirmed (links between the class
+    and others that were confirmed on the way; links inside a component need not all be) for every
+    row of ``docs(doc_id, text)``."""
     empty = F.col("n") == 0
-    return out.select(
+    return classes(docs).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("sig").alias("class"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"))
+        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_confirmed", F.lit(0))).cast("bigint").alias("n_confirmed"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of every component; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").dropDuplicates(docs.columns)
+    """The row with the smallest id of every component, of equal ids the one with the least text
+    hash; rows without an id or without shingles stay.  Of rows with equal id and text one stays, the
+    first by its JSON form."""
+    found = classes(docs)
+    linked = found.where("doc_id IS NOT NULL AND n > 0")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_id")).alias("first"))
+    gone = linked.join(first, "component").where(F.struct("doc_id", "text_id") != F.col("first")).select(
+        F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (text_id() == gone["_text_id"]), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(
+        F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if again.isEmpty():
+        return kept
+    # only rows that are repeated are grouped
+    same = kept["doc_id"].eqNullSafe(again["_id"]) & (text_id() == again["_text_id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), text_id().alias("_text_id")).agg(
+        F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-FLUSH = 4_000_000  # keys gathered by a task before its blocks are written
+FLUSH = 1_000_000  # keys gathered by a task before its blocks are written
 DROP = np.uint64(24)  # keys keep 40 bits where only a candidate or a frequency hangs on them
 
 

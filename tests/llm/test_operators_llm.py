@@ -113,6 +113,34 @@ def test_jaccard_join_null_ids_and_empty_table(spark):
     assert keep_one(docs).count() == 3
 
 
+def test_jaccard_join_tells_texts_of_one_id_apart(spark):
+    """One id with two texts: whatever the order of rows, each text has its own links."""
+    rng = np.random.default_rng(7)
+    a, b = rng_text(rng, 60), rng_text(rng, 70)
+    rows = [(2, a), (5, a + " more"), (5, b), (9, b + " end"), (9, b + " end"), (9, "")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string").selectExpr("*", "map(doc_id, 1) AS _id", "text AS sig")
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect())
+        assert got == [(2, 56, 2), (5, 57, 2), (5, 66, 5), (9, 0, 9), (9, 67, 5), (9, 67, 5)]
+        kept = keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(2, a), (5, b), (9, "")])
+
+
+def test_jaccard_join_small_blocks_and_dropped_tables(spark, texts, monkeypatch):
+    """Blocks flushed after few keys give the same components, and only the result stays stored."""
+    import os
+
+    from quadloom.llm import op2_jaccard_join as op2
+    from quadloom.session import scratch_root
+    monkeypatch.setattr(op2, "FLUSH", 300)
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(shingle_sets(texts))
+    assert [n.split("-")[0] for n in set(os.listdir(root)) - before] == ["near"]
+
+
 def test_adaptive_prefix_is_lossless():
     """Any two sets that reach the similarity share the smaller l of their prefixes."""
     rng = np.random.default_rng(1)
