@@ -4,7 +4,8 @@ Reader: the driver only lists files and packs them into partitions by size; a pa
 record headers first, tests them against the pushed predicates and seeks over the block of a
 record that is not wanted, so its payload is neither read nor decoded.  Writer: every task
 writes whole files under a name of its own attempt, and the commit renames them into place, so
-a repeated or speculative task leaves nothing behind.
+a repeated or speculative task leaves nothing behind.  File names carry the write they come from:
+appending keeps the archives that are there, overwriting removes them once the new ones are in place.
 
 Records are kept uncompressed so that a block can be skipped by its length; the payload in an
 HTTP block is compressed by itself (``Content-Encoding: gzip``).
@@ -168,9 +169,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"]
         self.limit = int(options.get("file_bytes", PARTITION_BYTES))
+        self.overwrite = overwrite
+        self.name = uuid.uuid4().hex  # of this write, the same in all its tasks
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -178,15 +181,16 @@ class WarcWriter(DataSourceArrowWriter):
         files, where = filesystem(self.path)
         part = TaskContext.get().partitionId()
         attempt, moves, stream, room = uuid.uuid4().hex, [], None, 0
-        files.create_dir(f"{where}/_attempts", recursive=True)
+        drafts = f"{where}/_attempts/{self.name}"
+        files.create_dir(drafts, recursive=True)
         for batch in iterator:
             for row in batch.to_pylist():
                 data = record_bytes(row)
                 if stream is None or room < len(data):
                     if stream:
                         stream.close()
-                    draft = f"{where}/_attempts/{attempt}-{len(moves)}"
-                    moves.append((draft, f"{where}/part-{part:06d}-{len(moves):04d}.warc"))
+                    draft = f"{drafts}/{attempt}-{len(moves)}"
+                    moves.append((draft, f"{where}/part-{self.name}-{part:06d}-{len(moves):04d}.warc"))
                     stream, room = files.open_output_stream(draft), self.limit
                 stream.write(data)
                 room -= len(data)
@@ -195,16 +199,25 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(moves)
 
     def commit(self, messages):
-        files = filesystem(self.path)[0]
+        files, where = filesystem(self.path)
+        old = pafs.FileSelector(where, recursive=True, allow_not_found=True)
+        old = [i.path for i in files.get_file_info(old) if i.is_file and i.path.endswith(".warc")] if self.overwrite else []
         for message in messages:
             for draft, final in message.moves if message else ():
                 files.move(draft, final)
+        for path in old:
+            files.delete_file(path)
+        self._clear()
 
     def abort(self, messages):
-        files = filesystem(self.path)[0]
-        for message in messages:
-            for draft, _ in message.moves if message else ():
-                files.delete_file(draft)
+        self._clear()
+
+    def _clear(self):
+        """Remove the drafts of this write, those of dead attempts included."""
+        files, where = filesystem(self.path)
+        drafts = f"{where}/_attempts/{self.name}"
+        if files.get_file_info(drafts).type == pafs.FileType.Directory:
+            files.delete_dir(drafts)
 
 
 class WarcDataSource(DataSource):
@@ -226,7 +239,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options, schema)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -257,9 +270,10 @@ def archive_rows(pages: DataFrame, least: int = 1000) -> DataFrame:
         F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 1000, mode: str = "append") -> None:
+    """Write the records of ``pages`` to ``path``; ``mode`` is append or overwrite."""
     register(pages.sparkSession)
-    archive_rows(pages, least).write.format("warc").option("path", path).mode("append").save()
+    archive_rows(pages, least).write.format("warc").option("path", path).mode(mode).save()
 
 
 def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:

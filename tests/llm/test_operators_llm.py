@@ -242,6 +242,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert decode_block(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain"
 
 
+def test_warc_append_and_overwrite(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", f"text {k}") for k in range(12)], "page_id bigint, url string, html string")
+    path = str(tmp_path / "warc")
+    ids = lambda: sorted(r.page_id for r in read_archives(spark, path).collect())
+    write_archives(pages.where("page_id < 4"), path)
+    write_archives(pages.where("page_id BETWEEN 4 AND 7"), path)
+    assert ids() == list(range(8))
+    (tmp_path / "warc" / "_attempts" / "other").mkdir()  # of a write that still runs
+    write_archives(pages.where("page_id >= 6"), path, mode="overwrite")
+    assert ids() == list(range(6, 12))
+    assert [p.name for p in (tmp_path / "warc" / "_attempts").iterdir()] == ["other"]
+    write_archives(pages.limit(0), path, mode="overwrite")
+    assert ids() == []
+
+
 # ---- spans --------------------------------------------------------------------------------
 
 def brute_pii(t):
