@@ -445,6 +445,17 @@ def test_passages_keep_links_the_leader_does_not_have(spark):
     assert pairs == {p for i in range(0, 90, 3) for p in ((i, i + 1), (i + 1, i + 2))}
 
 
+def test_passages_tell_texts_of_one_id_apart(spark):
+    """An id with a short and a long text: places of one are not looked up in the other."""
+    rng = np.random.default_rng(21)
+    p, q = rng_text(rng, 80, 10 ** 6), rng_text(rng, 90, 10 ** 6)
+    lead = rng_text(rng, 400, 10 ** 6)
+    rows = [(1, p), (2, q), (5, lead + " " + p), (5, q), (5, "short one"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(*sorted((r.a, r.b)), r.a_end - r.a_start) for r in repeated_passages(docs, rounds=1).collect()}
+    assert got == {(1, 5, 80), (2, 5, 90)}
+
+
 def test_passages_are_joined_across_longer_gaps():
     """Four replaced words in the middle of 95 leave 83 of 99 shingles, but no half is long enough."""
     rng = np.random.default_rng(6)
