@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -18,7 +19,8 @@ from quadloom.llm.op2_jaccard_join import bitmap, index_part, keep_one, near_dup
 from quadloom.llm.op4_warc import decode_block, read_archives, write_archives
 from quadloom.llm.op5_mixing import mix, water_levels
 from quadloom.llm.op6_decontamination import leaks, without_leaks
-from quadloom.llm.op7_substring_dedup import compact_windows, matching_passages, passages_by_document, repeated_passages
+from quadloom.llm.op7_substring_dedup import (compact_windows, least_distinct, matching_passages, passages_by_document,
+                                             repeated_passages, sketches)
 from quadloom.llm.op8_quality import keep_good, quality_digest
 from quadloom.llm.op10_lm_scoring import lm_scores
 from quadloom.llm.packed import pack, unpack
@@ -416,6 +418,54 @@ def test_compact_windows_cover_every_subsequence():
             assert len(at) == 1 and keys[at[0]] == keys[i:j + 1].min()
 
 
+def test_compact_windows_keep_both_ends_of_a_repeated_stretch():
+    rng = np.random.default_rng(8)
+    stretch = rng.integers(1, 1 << 63, 11).astype(np.uint64)
+    stretch[4] = 0
+    before, after = (rng.integers(1 << 20, 1 << 63, n).astype(np.uint64) for n in (30, 30))
+    spans = compact_windows(np.concatenate([before, np.tile(stretch, 50), after]), 12)
+    least = [span for span in spans if span[1] in range(34, 34 + 550, 11)]
+    assert least == [(0, 34, 609), (35, 34 + 49 * 11, 609)]
+    # other text between equal minima: all of them stay
+    keys = np.concatenate([x for k in range(20) for x in ([np.uint64(0)], rng.integers(1, 1 << 63, 10).astype(np.uint64))])
+    assert {c for _, c, _ in compact_windows(keys, 12)} >= set(range(0, 209, 11))
+    assert len(compact_windows(np.full(100_000, 7, np.uint64), 46)) == 2
+
+
+def test_surroundings_of_minima():
+    rng = np.random.default_rng(9)
+    for n in (10, 11, 40, 200):
+        s = rng.integers(0, 12, n).astype(np.uint64) << np.uint64(55)
+        spots = np.arange(n)
+        few, bits = least_distinct(s, spots, 10), sketches(s, spots, 10)
+        for c in spots:
+            assert few[c] == min(len(set(s[i:i + 10])) for i in range(max(c - 9, 0), min(c, n - 10) + 1))
+            assert int(np.bitwise_count(bits[c].view(np.uint64)).sum()) == len(set(s[max(c - 9, 0):c + 10]))
+
+
+def test_passage_among_repeated_lines(spark):
+    word = lambda k: f"w{k * 7919 % 1009}x{k}"
+    line = " ".join(word(k) for k in range(9))
+    passage = " ".join(word(k) for k in range(100, 170))
+    # the lines stand in both, a different number of times; the passage follows them
+    rows = [(1, "\n".join([line] * 40 + [passage])), (2, "\n".join([line] * 70 + [passage])),
+            (3, " ".join(word(k) for k in range(300, 500)))]
+    got = passages_by_document(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+    assert any(r.doc_id == 1 and r.end_word == 40 * 9 + 70 for r in got)
+
+
+def test_many_texts_around_one_phrase(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"v{rng.randrange(10 ** 9)}" for _ in range(n))
+    phrase = " ".join(f"p{k}" for k in range(14))
+    passages = [fresh(60) for _ in range(3)]
+    # all hold the phrase, 3k and 3k + 1 also a passage behind it
+    rows = [(k, " ".join([fresh(60), phrase, passages[k // 3] if k < 9 and k % 3 < 2 else fresh(60), fresh(60)])) for k in range(60)]
+    pairs = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in pairs} == {(0, 1), (3, 4), (6, 7)}
+
+
 def test_repeated_passages(spark, texts):
     docs = table(spark, texts)
     got = passages_by_document(repeated_passages(docs)).toPandas()
