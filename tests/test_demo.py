@@ -199,3 +199,19 @@ def test_counts_feed_functional_star(graph):
     assert FOAF + "name" in functional and NS + "staff" not in functional
     with pytest.raises(Exception, match="several values"):
         op.star(graph, {"n": TITLE.value, "m": NS + "staff"}, functional=("n", "m")).collect()
+
+
+def test_nested_documents_in_parts(spark, tmp_path, monkeypatch):
+    """A nation whose customers fill several documents is still one row with all of them."""
+    from functools import partial
+
+    from workload import tables
+    spark.createDataFrame([(0, "AFRICA")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    spark.createDataFrame([(1, "ONE", 0), (2, "TWO", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(
+        str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(i, f"C{i:03d}", 1, 1.0, "X") for i in range(100)], (
+        "c_custkey int, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(tables.model, "documents", partial(tables.model.documents, part_size=10))
+    got = {tuple(r) for r in tables.nested_documents(spark, str(tmp_path)).collect()}
+    assert got == {("ONE", "AFRICA", 100, "|".join(f"C{i:03d}" for i in range(100))), ("TWO", "AFRICA", 0, "")}

@@ -117,10 +117,12 @@ def entity_table_one_entity(spark, sf):
 def nested_documents(spark, sf):
     g = one_graph(spark, sf, "nation", "region", "customer")
     d = model.documents(g, SPEC, "Nation", depth=1)
-    names = F.flatten(F.transform("doc.customer", lambda x: x["document"]["customer_name"]))
-    return d.select(
-        C("doc.nation_label")[0].alias("label"), C("doc.region")[0]["document"]["region_label"][0].alias("region"),
-        F.size("doc.customer").cast("long").alias("customers"), F.array_join(F.array_sort(names), "|").alias("names"))
+    # a nation of many customers is a document in parts; the label and the region may stand in any of them
+    names = F.flatten(F.flatten(F.collect_list(F.transform("doc.customer", lambda x: x["document"]["customer_name"]))))
+    region = F.get(F.get("doc.region", F.lit(0))["document"]["region_label"], F.lit(0))
+    return d.groupBy("entity").agg(
+        F.min(F.get("doc.nation_label", F.lit(0))).alias("label"), F.min(region).alias("region"),
+        F.sum(F.size("doc.customer")).alias("customers"), F.array_join(F.array_sort(names), "|").alias("names")).drop("entity")
 
 
 @query("documents_in_parts", f"""
