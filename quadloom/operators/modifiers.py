@@ -77,7 +77,9 @@ def number_copies(df: DataFrame, count: str, out: str) -> DataFrame:
     n = F.col(count).cast("long")
     chunks = df.select("*", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((n - 1) / COPY_CHUNK))).alias("__chunk"))
-    return _unfold(chunks.repartition(*df.columns, "__chunk"), count, out)
+    # the chunks are few and short before they are unfolded: a number that is given is not made smaller
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _unfold(chunks.repartition(tasks, *df.columns, "__chunk"), count, out)
 
 
 def _unfold(chunks: DataFrame, count: str, out: str) -> DataFrame:
