@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def count(v) -> Column:
 
 
 def count_distinct(v, approx: bool = False, rsd: float = 0.02) -> Column:
-    return F.approx_count_distinct(_c(v), rsd) if approx else F.count_distinct(_c(v))
+    made = F.approx_count_distinct(_c(v), rsd) if approx else F.count_distinct(_c(v))
+    made.sketch, made.exact = approx, not approx  # told apart by ``group``
+    return made
 
 
 def minimum(v) -> Column:
@@ -89,7 +93,20 @@ def group_concat(v, sep: str = " ", distinct: bool = False, sort: bool = True) -
 
 
 def group(bindings: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """GROUP BY with named aggregates; no keys gives exactly one row."""
+    """GROUP BY with named aggregates; no keys gives exactly one row.
+
+    Next to an exact distinct count Spark groups by the counted value first, with a sketch of
+    some kB for each value: sketches are then made in a grouping of their own.
+    """
+    apart = {n: c for n, c in aggregates.items() if vars(c).get("sketch")}
+    if apart and any(vars(c).get("exact") for c in aggregates.values()):
+        here = group(bindings, keys, **{n: c for n, c in aggregates.items() if n not in apart})
+        there = group(bindings, keys, **apart)
+        if not keys:
+            return here.crossJoin(there).select(*aggregates)
+        there = there.withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return here.join(there, reduce(lambda a, b: a & b, same)).select(*keys, *aggregates)
     made = [c.alias(name) for name, c in aggregates.items()]
     return bindings.groupBy(*keys).agg(*made) if keys else bindings.agg(*made)
 
