@@ -9,6 +9,9 @@ from ..session import scratch_path
 from ..terms import iri_term, subject_term
 
 
+SENT_ROWS = 100_000
+
+
 def _pairs(graph: DataFrame) -> DataFrame:
     return graph.select(subject_term().alias("s"), F.col("o"))
 
@@ -73,19 +76,25 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
         right.select(F.col("s").alias("__mid"), "o"), "__mid").select("s", "o")
 
 
+def _hinted(pairs: DataFrame, n: int) -> DataFrame:
+    """Sent to every task only while it is short: rounds are many, and file sizes tell little of rows."""
+    return pairs if n <= SENT_ROWS else pairs.hint("merge")
+
+
 def _swapped(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
 
 
 def _walk(edges: DataFrame, start: DataFrame | None, max_steps: int | None, rounds: _Rounds) -> DataFrame:
     """One step a round, from the pairs found last: for given starts or few steps."""
-    hops, _, _ = rounds.write(edges)
+    hops, links, _ = rounds.write(edges)
     delta, new, path = rounds.write(hops if start is None else hops.join(start, "s", "left_semi"))
-    schema, known = delta.schema, [path]
+    schema, known, total = delta.schema, [path], new
     while new > 0 and (max_steps is None or len(known) < max_steps):
-        grown = _join(delta, hops).distinct()
-        delta, new, path = rounds.write(grown.join(rounds.read(schema, known), ["s", "o"], "left_anti"))
+        grown = _join(delta, _hinted(hops, min(new, links))).distinct()
+        delta, new, path = rounds.write(grown.join(_hinted(rounds.read(schema, known), total), ["s", "o"], "left_anti"))
         known.append(path)
+        total += new
     return rounds.read(schema, known)
 
 
@@ -116,9 +125,9 @@ def _reachable(edges: DataFrame, rounds: _Rounds) -> DataFrame:
     """
     loops, _, _ = rounds.write(edges.where("s = o").select(F.col("s").alias("node")))
     delta, new, path = rounds.write(edges.where("s <> o"))
-    schema, known, members = delta.schema, [path], None
+    schema, known, members, total = delta.schema, [path], None, new
     while new > 0:
-        pairs = rounds.read(schema, known)
+        pairs = _hinted(rounds.read(schema, known), total)
         mutual, merged, _ = rounds.write(delta.join(_swapped(pairs), ["s", "o"], "left_semi"))
         if merged:
             labels, _, _ = rounds.write(_labels(mutual))
@@ -128,13 +137,14 @@ def _reachable(edges: DataFrame, rounds: _Rounds) -> DataFrame:
                 moved = _relabelled(members, labels, "label")
                 members, _, _ = rounds.write(moved.unionByName(labels.join(moved.select("node"), "node", "left_anti")))
             delta, new, path = rounds.write(_relabelled(pairs, labels, "s", "o").where("s <> o").distinct())
-            known = [path]
+            known, total = [path], new
             continue
         grown = _join(delta, pairs)
         if members is not None:  # merging shortens paths unevenly: either half may be the new one
             grown = grown.unionByName(_join(pairs, delta))
         delta, new, path = rounds.write(grown.distinct().join(pairs, ["s", "o"], "left_anti"))
         known.append(path)
+        total += new
     pairs = rounds.read(schema, known)
     if members is None:
         return pairs.unionByName(loops.select(F.col("node").alias("s"), F.col("node").alias("o")))
@@ -145,6 +155,21 @@ def _reachable(edges: DataFrame, rounds: _Rounds) -> DataFrame:
     return _relabelled(pairs, back, "s", "o").select("s", "o").unionByName(inside).unionByName(apart)
 
 
+def _numbered(edges: DataFrame, rounds: _Rounds) -> tuple[DataFrame, DataFrame]:
+    """``(node, id)`` and the distinct edges between the numbers, for rounds that move no terms."""
+    edges, _, _ = rounds.write(edges)
+    nodes = edges.select(F.explode(F.array("s", "o")).alias("node")).where("node IS NOT NULL").distinct()
+    ids, _, _ = rounds.write(nodes.select("node", F.monotonically_increasing_id().alias("id")))
+    return ids, _mapped(edges, ids, "node", "id", "s", "o").distinct()
+
+
+def _mapped(pairs: DataFrame, ids: DataFrame, old: str, new: str, *sides: str) -> DataFrame:
+    for side in sides:
+        pairs = pairs.join(ids.select(F.col(old).alias(side), F.col(new).alias("__new")), side, "left").drop(
+            side).withColumnRenamed("__new", side)
+    return pairs.select(*sides)
+
+
 def path_closure(graph: DataFrame, step, min_steps: int = 1, start: DataFrame | None = None,
                  max_steps: int | None = None) -> DataFrame:
     """``p+`` (``min_steps=1``), ``p*`` (0) or ``p?`` (0 with ``max_steps=1``), as a set.
@@ -153,14 +178,20 @@ def path_closure(graph: DataFrame, step, min_steps: int = 1, start: DataFrame |
     one round and the plan never grows.  ``start`` (a one-column frame of terms) limits
     the walk to paths from these resources, which are then followed step by step.
     """
-    edges = (path_step(graph, step) if isinstance(step, str) else step).select("s", "o").distinct()
+    edges = (path_step(graph, step) if isinstance(step, str) else step).select("s", "o")
     rounds = _Rounds(graph.sparkSession)
     if start is not None:
         start = start.select(F.col(start.columns[0]).alias("s")).distinct()
-    if start is None and max_steps is None:
-        found = _reachable(edges, rounds)
+    if max_steps == 1:
+        found = _walk(edges.distinct(), start, max_steps, rounds)
     else:
-        found = _walk(edges, start, max_steps, rounds)
+        ids, hops = _numbered(edges, rounds)
+        if start is None and max_steps is None:
+            found = _reachable(hops, rounds)
+        else:
+            first = None if start is None else _mapped(start, ids, "node", "id", "s")
+            found = _walk(hops, first, max_steps, rounds)
+        found = _mapped(found, ids, "id", "node", "s", "o")
     if min_steps == 0:
         zero = nodes(graph) if start is None else start.select("s", F.col("s").alias("o"))
         found = found.unionByName(zero).distinct()

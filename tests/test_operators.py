@@ -1,5 +1,6 @@
 """Joins, closure, paging and grouping against brute force on small data with hot keys and nulls."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -327,3 +328,50 @@ def test_slices_order_ties_alike_at_every_offset(spark, monkeypatch):
     monkeypatch.setattr(modifiers, "SHALLOW_OFFSET", 0)
     deep = [modifiers.slice_rows(rows, ["k"], at, 2).collect() for at in (0, 2, 4)]
     assert shallow == deep == [[(0, 5), (0, 7)], [(0, 9), (1, 1)], [(1, 1), (1, 3)]]
+
+
+def test_cycles_drop_their_tables(spark):
+    """Only what the result reads stays in the shared folder."""
+    links = spark.createDataFrame([(f"n{i % 7}", f"n{i % 5}") for i in range(35)], "a string, b string")
+    for made, name in ((op.triangles, "triangles"), (op.squares, "squares")):
+        before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+        made(links)
+        new = set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before
+        assert sorted(x.rsplit("-", 1)[0] for x in new) == sorted(["ordered", name])
+
+
+@pytest.mark.parametrize("start", [True, False])
+def test_closure_rounds_hold_numbers(spark, monkeypatch, start):
+    """Rounds move two numbers a pair and no terms, whether their pairs are sent to the tasks or not."""
+    edges = [(f"{i}", f"{i // 2}") for i in range(1, 40)] + [("3", "25"), ("7", "7")]
+    g = graph_of(spark, [(a, "p", b) for a, b in edges])
+    first = terms(spark, ["s"], [("25",), ("none",)]) if start else None
+    reach = {(a, b) for a, b in edges if not start or a == "25"}
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    seen = []
+    for name in ("_walk", "_reachable"):
+        old = getattr(paths, name)
+        monkeypatch.setattr(paths, name, lambda e, *x, old=old: seen.append(e.schema.simpleString()) or old(e, *x))
+    for rows in (0, 1000):
+        monkeypatch.setattr(paths, "SENT_ROWS", rows)
+        assert plain(op.path_closure(g, "p", start=first)) == Counter(reach)
+    assert seen == ["struct<s:bigint,o:bigint>"] * 2
+
+
+def test_copies_are_unfolded_by_several_tasks(spark):
+    df = spark.createDataFrame([("a", 20 * 65_536)], "k string, n long")
+    assert number_copies(df, "n", "i").select(F.spark_partition_id().alias("t")).distinct().count() > 1
+
+
+def test_sketches_are_not_made_for_each_counted_value(spark):
+    rows = [(None if i % 3 == 0 else f"k{i % 3}", f"v{i % 10}") for i in range(60)]
+    df = terms(spark, ["k", "v"], rows)
+    both = {"n": op.count_distinct("v"), "guess": op.count_distinct("v", approx=True), "rows": op.count("v")}
+    got = op.group(df, ["k"], **both)
+    assert got.columns == ["k", "n", "guess", "rows"]
+    assert {(r.k and r.k["value"], r.n, r.guess, r.rows) for r in got.collect()} == {(k, 10, 10, 20) for k in (None, "k1", "k2")}
+    one = op.group(df, [], **both)
+    assert [tuple(r) for r in one.collect()] == [(10, 10, 60)]
+    sketched = [x for x in one._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in x]
+    assert sketched and all("keys=[]" in x for x in sketched)
