@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(workers)
 
 RANGE_BYTES = 64 << 20
 RANGES_PER_FILE = 50_000
+TASK_BYTES = 4 << 20
 RANGE = 'source_idx int, file_idx int, path string, start bigint, end bigint'
 START = '{"base": "", "prefixes": {}}'
 PARSED = ("source_idx int, file_idx int, range bigint, statement bigint, s string, s_kind tinyint, p string, "
@@ -37,7 +38,7 @@ def _spread(df: DataFrame, tasks: int) -> DataFrame:
 
 
 def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
-                 range_bytes: int = RANGE_BYTES):
+                 range_bytes: int | None = None):
     """Quads of Turtle files.  ``failfast`` stops the job at the first faulty statement.
 
     ``quarantine`` returns ``(quads, rejects)``: every statement has an address (source, file,
@@ -48,6 +49,12 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
         raise ValueError("mode must be 'failfast' or 'quarantine'")
     packed = compression(F.col("path")) != ""
     files = files.select("source_idx", "file_idx", "path", "size")
+    size = files.agg(F.sum("size")).first()[0] or 0
+    slots = spark.sparkContext.defaultParallelism
+    if range_bytes is None:  # some ranges for every core, so that the last of them is not waited for
+        range_bytes = int(min(RANGE_BYTES, max(TASK_BYTES, size / (4 * slots))))
+    # a task takes many short ranges: neither tasks nor the files they write grow with the ranges
+    at_most = min(100_000, max(4 * slots, int(size / TASK_BYTES)))
     single = files.filter(packed | (F.col("size") <= range_bytes)).select(
         "source_idx", "file_idx", "path", F.lit(0).cast("long").alias("start"),
         F.lit(-1).cast("long").alias("end"), F.lit("N").alias("state"), F.lit(START).alias("env"),
@@ -60,7 +67,7 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
         cut = large.withColumn("step", step).select(
             "source_idx", "file_idx", "path", F.explode(starts).alias("start"), "step")
         cut = cut.select("source_idx", "file_idx", "path", "start", (F.col("start") + F.col("step")).alias("end"))
-        tasks = min(cut.count(), 100_000)
+        tasks = min(cut.count(), at_most)
         # carried per file: one small row per range, and at most RANGES_PER_FILE of them
         states = _spread(cut, tasks).mapInPandas(
             tw.range_states, RANGE + ", from_n string, from_d string, from_s string"
@@ -71,7 +78,7 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
         ).groupBy("source_idx", "file_idx").applyInPandas(
             tw.carry_declarations, RANGE + ", state string, env string, running int")
         ranges = single.unionByName(materialise(declared, "turtle-ranges"))
-    tasks = min(ranges.count(), 100_000)
+    tasks = min(ranges.count(), at_most)
     parsed = _spread(ranges, tasks).mapInPandas(tw.parse_ranges, PARSED)
     quads = F.col("error").isNull()
     if mode == "failfast":
@@ -84,6 +91,7 @@ def parse_turtle(spark: SparkSession, files: DataFrame, mode: str = "failfast",
     bad = materialise(parsed.filter(~quads).select(*address, "error", "start", "end"), "turtle-rejects")
     good = parsed.filter(quads).join(bad.select(*address), address, "left_anti")
     places = bad.join(files.select("source_idx", "file_idx", "path"), ["source_idx", "file_idx"])
+    places = places.sortWithinPartitions("path", "start")
     return _quads(good), places.mapInPandas(tw.reject_texts, REJECTS)
 
 

@@ -478,15 +478,31 @@ def parse_ranges(batches):
 
 
 def reject_texts(batches):
-    """The text of every rejected statement, in pieces."""
+    """The text of every rejected statement, in pieces; a file stays open for all of a run."""
     import pandas as pd
 
-    for pdf in batches:
-        for row in pdf.itertuples():
-            decode = codecs.getincrementaldecoder("utf-8")().decode
-            with open_plain(row.path) as stream:
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["source_idx", "file_idx", "start", "end", "error", "piece", "line"])
+
+    path, stream, rows, size = None, None, [], 0
+    try:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if row.path != path:
+                    if stream is not None:
+                        stream.close()
+                    path, stream = row.path, open_plain(row.path)
+                decode = codecs.getincrementaldecoder("utf-8")().decode
                 stream.seek(row.start)
                 for piece, at in enumerate(range(row.start, row.end, BLOCK)):
                     line = decode(stream.read(min(BLOCK, row.end - at)))
-                    yield pd.DataFrame([(row.source_idx, row.file_idx, row.start, row.end, row.error, piece, line)], columns=[
-                        "source_idx", "file_idx", "start", "end", "error", "piece", "line"])
+                    rows.append((row.source_idx, row.file_idx, row.start, row.end, row.error, piece, line))
+                    size += len(line)
+                    if size >= BLOCK or len(rows) >= ROWS:
+                        yield frame(rows)
+                        rows, size = [], 0
+        if rows:
+            yield frame(rows)
+    finally:
+        if stream is not None:
+            stream.close()

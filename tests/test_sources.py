@@ -486,3 +486,14 @@ def test_dataset_catalog(spark, tmp_path):
     quality.write_catalog(df, str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text()
     assert text.splitlines()[:2] == ["database,endpoint_url,endpoint_name,keyword_search_api", "alpha,http://host/sparql,local,sparql"]
+
+
+def test_short_turtle_ranges_share_tasks(spark, tmp_path):
+    text = "@prefix ex: <http://e/> .\n" + "".join(f'ex:s{i} ex:p "{i}" .\nex:s{i} ex:p , .\n' for i in range(400))
+    (tmp_path / "t.ttl").write_text(text)
+    files = spark.createDataFrame([(0, 0, str(tmp_path / "t.ttl"), len(text))], "source_idx int, file_idx int, path string, size long")
+    good, bad = parse_turtle(spark, files, "quarantine", range_bytes=40)
+    assert sorted(r.s for r in good.collect()) == sorted(f"http://e/s{i}" for i in range(400))
+    assert sorted(r.line for r in bad.collect()) == sorted(f"ex:s{i} ex:p , ." for i in range(400))
+    folders = [f.rsplit("/", 1)[0] for f in good.inputFiles()]
+    assert max(folders.count(f) for f in set(folders)) <= 4 * spark.sparkContext.defaultParallelism
