@@ -335,7 +335,7 @@ def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch
         good = scratch.table(verified(pairs, texts), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
-        last, comp = comp, components(found, scratch.table)
+        last, comp = comp, components(good, scratch.table, comp)
         scratch.drop(last)
     return comp, found
 

@@ -129,6 +129,21 @@ def test_jaccard_join_tells_texts_of_one_id_apart(spark):
         assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(2, a), (5, b), (9, "")])
 
 
+def test_components_take_links_between_two_of_them_as_one(spark, monkeypatch):
+    """New links go between the components found before, however many join the same two."""
+    from quadloom.llm import components as module
+    stars, entered = module._star, []
+    monkeypatch.setattr(module, "_star", lambda edges, large: entered.append(edges.count()) or stars(edges, large))
+    pairs = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    known = module.components(pairs([(0, i) for i in range(1, 30)] + [(30, i) for i in range(31, 60)] + [(80, 81)]))
+    entered.clear()
+    new = [(a, b) for a in range(5, 30) for b in range(35, 60)] + [(59, 70), (71, 70), (90, 91), (80, 81)]
+    got = {r.node: r.component for r in module.components(pairs(new), known=known).collect()}
+    assert got == {**{i: 0 for i in (*range(60), 70, 71)}, 80: 80, 81: 80, 90: 90, 91: 90}
+    assert max(entered) <= 4
+    assert known.count() == 62 and module.components(pairs([]), known=known).count() == 62
+
+
 def test_jaccard_join_small_blocks_and_dropped_tables(spark, texts, monkeypatch):
     """Blocks flushed after few keys give the same components, and only the result stays stored."""
     import os
