@@ -375,3 +375,15 @@ def test_sketches_are_not_made_for_each_counted_value(spark):
     assert [tuple(r) for r in one.collect()] == [(10, 10, 60)]
     sketched = [x for x in one._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in x]
     assert sketched and all("keys=[]" in x for x in sketched)
+
+
+def test_terms_of_lineitem_pairs_are_made_in_a_given_number_of_tasks(spark, tmp_path):
+    """However few bytes the keys have; repeated pairs and rows without a key are as before."""
+    from quadloom.fixtures import EX, table_quads
+    rows = [(i % 5, i % 40) for i in range(200)] + [(None, 3), (4, None)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    quads = table_quads(spark, str(tmp_path), "lineitem")
+    assert quads.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    got = sorted((str(r.s), str(r.v)) for r in quads.selectExpr("s", "o.value AS v").collect())
+    term = lambda t, k: "None" if k is None else f"{EX}{t}/{k}"
+    assert got == sorted((term("supplier", a), term("part", b)) for a, b in set(rows))
