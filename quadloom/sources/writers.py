@@ -72,7 +72,11 @@ def nquads_lines(quads: DataFrame, graphs: bool = True) -> DataFrame:
 
 
 def write_nquads(quads: DataFrame, path: str, graphs: bool = True, codec: str | None = None) -> None:
+    """Compressed lines are dealt evenly before: compression takes most of the time, and the tables
+    behind the quads may come in a few large pieces."""
     lines = nquads_lines(quads, graphs)
+    if codec:
+        lines = lines.repartition(int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     writer = lines.write.mode("overwrite")
     if codec:
         writer = writer.option("compression", codec)

@@ -497,3 +497,15 @@ def test_short_turtle_ranges_share_tasks(spark, tmp_path):
     assert sorted(r.line for r in bad.collect()) == sorted(f"ex:s{i} ex:p , ." for i in range(400))
     folders = [f.rsplit("/", 1)[0] for f in good.inputFiles()]
     assert max(folders.count(f) for f in set(folders)) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_compressed_lines_are_dealt_evenly(spark, tmp_path):
+    """Rows that come in one piece are compressed by several tasks."""
+    made = spark.range(300).coalesce(1).selectExpr(
+        "'http://g/' AS g", "concat('http://s/', id) AS s", "CAST(1 AS byte) AS s_kind", "'http://p/' AS p",
+        "named_struct('kind', CAST(2 AS byte), 'value', CAST(id % 7 AS string), 'lang', '', 'dt', 'http://t/') AS o")
+    path = str(tmp_path / "nq")
+    writers.write_nquads(made, path, codec="bzip2")
+    sizes = [r["count"] for r in spark.read.text(path).groupBy("_metadata.file_name").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(sizes) == 300
+    assert max(sizes) <= 1.2 * min(sizes)
