@@ -129,6 +129,17 @@ def test_jaccard_join_tells_texts_of_one_id_apart(spark):
         assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(2, a), (5, b), (9, "")])
 
 
+def test_components_stop_when_the_links_are_stars(spark, monkeypatch):
+    """Links that are stars already take no round, others none after their last."""
+    from quadloom.llm import components as module
+    rounds, star = [], module._star
+    monkeypatch.setattr(module, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    found = lambda rows: {r.node: r.component for r in module.components(
+        spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
+    assert found([(0, 3), (5, 0), (7, 8), (8, 7), (4, 4)]) == {0: 0, 3: 0, 5: 0, 7: 7, 8: 7} and not rounds
+    assert found([(i, i + 1) for i in range(9)]) == dict.fromkeys(range(10), 0) and rounds
+
+
 def test_components_take_links_between_two_of_them_as_one(spark, monkeypatch):
     """New links go between the components found before, however many join the same two."""
     from quadloom.llm import components as module
