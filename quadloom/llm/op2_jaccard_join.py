@@ -13,9 +13,10 @@ any index part is left out.  A pair that meets must also agree in a bitmap: each
 shingles in 256 classes, and two sets differ in at least as many shingles as their bitmaps in bits.
 
 Classes of equal sets are joined once.  Within the list of a shingle, sets are first compared with
-one leader; the sets that are now in one component need no more comparison, so a group of
-near-copies costs links in proportion to its size.  All remaining candidate pairs across components
-are then verified, so no link between components is missed.
+one leader, each list with its own; the sets that are now in one component need no more comparison,
+so a group of near-copies costs links in proportion to its size.  All remaining candidate pairs across
+components must agree in a finer bitmap of 1024 classes, too, and are then verified, so no link between
+components is missed.  Lists that hold few pairs for their entries are met as a whole at once.
 
 Which shingles count as frequent only shapes the order.  At most ``MAX_HEAVY`` of them, the most
 frequent, are sent to the tasks; the result is the same for any choice.
@@ -42,7 +43,11 @@ LEAST_HEAVY = 8
 STEPS = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 20.0  # of one candidate, in list entries
 ROUNDS = 3
-WORDS = ("w0", "w1", "w2", "w3")  # 64 bits each of a set's bitmap
+FEW_PAIRS = 8  # for each entry: lists that hold no more are met as a whole, without leaders before
+CLASSES = 256
+FINE = 4 * CLASSES
+WORDS = tuple(f"w{k}" for k in range(CLASSES // 64))  # 64 bits each of a set's bitmap
+FINE_WORDS = tuple(f"v{k}" for k in range(FINE // 64))  # and of its finer one
 
 
 def token_set(h: np.ndarray) -> np.ndarray:
@@ -60,12 +65,18 @@ def index_part(n, step):
     return n - -(-6 * n // 7) + step
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens in each of 256 classes, as four signed words."""
-    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def bitmap(tokens: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Parity of the number of tokens in each of ``classes`` classes, as signed words."""
+    odd = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def folded() -> list[Column]:
+    """The words of the bitmap from those of the finer one, whose classes each lie in one of its."""
+    step = len(WORDS)
+    return [F.expr(" ^ ".join(FINE_WORDS[k::step])).alias(w) for k, w in enumerate(WORDS)]
+
+
 def _int_block(x, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
@@ -88,16 +99,16 @@ def profile(docs: DataFrame, n_buckets: int) -> DataFrame:
             parts = [b for b in range(n_buckets) if at[b] < at[b + 1]]
             none = pa.nulls(len(parts), pa.int64())
             return {"bucket": pa.array(parts, pa.int32()), "doc_id": none, "text_id": none, "sig": none,
-                    "n": pa.nulls(len(parts), pa.int32()), **dict.fromkeys(WORDS, none),
+                    "n": pa.nulls(len(parts), pa.int32()), **dict.fromkeys(FINE_WORDS, none),
                     "block": pa.array([pack(f[at[b]:at[b + 1]]) for b in parts], pa.binary())}
 
         for batch in by_bytes(batches):
             sets = [token_set(h) for h in encoded(batch.column("text").to_pylist())[0]]
             sigs = [signature(s) for s in sets]
-            bits = np.array([bitmap(s) for s in sets], np.int64).reshape(-1, len(WORDS))
+            bits = np.array([bitmap(s, FINE) for s in sets], np.int64).reshape(-1, len(FINE_WORDS))
             yield {"bucket": pa.array([-1] * len(sets), pa.int32()), "doc_id": batch.column("doc_id"),
                    "text_id": batch.column("text_id"), "sig": pa.array(sigs, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()),
-                   **{w: pa.array(np.ascontiguousarray(bits[:, k])) for k, w in enumerate(WORDS)},
+                   **{w: pa.array(np.ascontiguousarray(bits[:, k])) for k, w in enumerate(FINE_WORDS)},
                    "block": pa.nulls(len(sets), pa.binary())}
             for s, g in zip(sets, sigs):
                 if len(s) and g not in seen:
@@ -111,7 +122,8 @@ def profile(docs: DataFrame, n_buckets: int) -> DataFrame:
             yield flush()
 
     return map_arrow(docs.select("doc_id", text_id().alias("text_id"), utf8(F.col("text")).alias("text")), run,
-                     "bucket int, doc_id bigint, text_id bigint, sig bigint, n int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, block binary")
+                     "bucket int, doc_id bigint, text_id bigint, sig bigint, n int, "
+                     + "".join(f"{w} bigint, " for w in FINE_WORDS) + "block binary")
 
 
 def frequent(blocks: DataFrame, n_buckets: int) -> DataFrame:
@@ -277,12 +289,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "a bigint, b bigint")
 
 
-def _in_reach(x: str, y: str):
+def _alike(x: str, y: str, words: tuple[str, ...]) -> Column:
+    """The bitmaps allow the similarity."""
+    apart = " + ".join(f"bit_count({x}.{w} ^ {y}.{w})" for w in words)
+    return F.expr(f"7 * ({apart}) <= {x}.n + {y}.n")
+
+
+def _in_reach(x: str, y: str) -> Column:
     """Sizes fit, the match is one of the first l of two sets that share enough, and the bitmaps
     allow it."""
-    apart = " + ".join(f"bit_count({x}.{w} ^ {y}.{w})" for w in WORDS)
-    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n)") & F.expr(
-        f"7 * ({apart}) <= {x}.n + {y}.n") & F.expr(
+    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n)") & _alike(x, y, WORDS) & F.expr(
         f"7L * (least({x}.n - {x}.pos, {y}.n - {y}.pos) + least({x}.l, {y}.l) - 1) >= 3L * ({x}.n + {y}.n)")
 
 
@@ -296,35 +312,44 @@ def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return named.join(spans, "f", "left_semi")
 
 
+def _pairs_per_entry(rows: DataFrame) -> float | None:
+    """All pairs within the lists for each of their entries; None without entries."""
+    n = F.col("count").cast("double")
+    return rows.groupBy("f").count().agg(F.sum(n * (n - 1) / 2) / F.sum(n)).first()[0]
+
+
 def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch,
           rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all linked classes, and the verified links (a, b); ``reps`` holds a
-    document and the bitmap of each class."""
+    document and the finer bitmap of each class."""
     wanted = entries.select("sig").distinct()
     texts = scratch.table(texts_of(docs, reps.select("sig", "rep", "rep_text").join(wanted, "sig", "left_semi")), "class-texts")
     degree = entries.groupBy("sig").agg(F.count("*").alias("degree"))
     plain, entries = entries, scratch.table(
-        entries.join(degree.join(reps.drop("rep", "rep_text"), "sig"), "sig"), "entries")
+        entries.join(degree.join(reps.select("sig", *folded()), "sig"), "sig"), "entries")
     scratch.drop(plain)
     comp, tested, found = None, None, None
     for k in range(rounds + 1):
         rows = _open_lists(entries, comp)
         if comp is not None:
             rows = scratch.table(rows, "open-lists")
-            if rows.isEmpty():
-                break
-        if k < rounds:
+        many = _pairs_per_entry(rows)
+        if many is None and comp is not None:
+            break
+        if k < rounds and many is not None and many > FEW_PAIRS:
             # first the set with the most shared entries, which lies nearest to the middle of its
-            # group, then others by hash
-            rank = F.struct(-F.col("degree"), "sig") if k == 0 else F.struct(F.xxhash64(F.lit(k), "sig"))
+            # group, then others by hash: each list has its own, so that a set meets many of its group
+            rank = F.struct(-F.col("degree"), "sig") if k == 0 else F.struct(F.xxhash64(F.lit(k), "f", "sig"))
             lead = rows.groupBy("f").agg(F.min_by(F.struct("sig", "n", "c", "l", "pos", *WORDS), rank).alias("y"))
             pairs = rows.alias("x").join(lead, "f").where((F.col("x.c") != F.col("y.c")) & _in_reach("x", "y"))
             pairs = pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         else:
+            k, fine = rounds, rows.join(reps.select("sig", *FINE_WORDS), "sig")
             # y is the smaller set, so only its index part takes part
-            x, y = rows.alias("x"), rows.where("pos < n - CAST(ceil(6 * n / 7) AS INT) + l").alias("y")
+            x, y = fine.alias("x"), fine.where("pos < n - CAST(ceil(6 * n / 7) AS INT) + l").alias("y")
             pairs = (x.join(y, F.col("x.f") == F.col("y.f"))
-                     .where(F.expr("y.n < x.n OR y.n = x.n AND y.sig < x.sig") & (F.col("x.c") != F.col("y.c")) & _in_reach("x", "y"))
+                     .where(F.expr("y.n < x.n OR y.n = x.n AND y.sig < x.sig") & (F.col("x.c") != F.col("y.c"))
+                            & _in_reach("x", "y") & _alike("x", "y", FINE_WORDS))
                      .groupBy(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
                      .agg(F.count("*").alias("m"), F.min(F.least("x.l", "y.l")).alias("need"))
                      .where("m >= need").select("a", "b"))
@@ -337,6 +362,8 @@ def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch
         found = good if found is None else found.unionByName(good)
         last, comp = comp, components(good, scratch.table, comp)
         scratch.drop(last)
+        if k == rounds:
+            break
     return comp, found
 
 
@@ -352,7 +379,7 @@ def classes(docs: DataFrame) -> DataFrame:
         scratch.drop(profiled, counts)
         entries = scratch.table(postings(docs, n_buckets, heavy), "postings")
         reps = rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by("text_id", "doc_id").alias("rep_text"),
-                                       *[F.first(w).alias(w) for w in WORDS])
+                                       *[F.first(w).alias(w) for w in FINE_WORDS])
         comp, found = links(entries, docs, reps.where("rep IS NOT NULL"), scratch)
         grouped = reps.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
             "component", F.coalesce("component", "sig"))
@@ -360,7 +387,7 @@ def classes(docs: DataFrame) -> DataFrame:
         degree = found.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_confirmed"))
         named = grouped.join(least, "component").join(degree, "sig", "left").select(
             "sig", "component", "component_id", "n_confirmed")
-        return materialise(rows.drop(*WORDS).join(named, "sig", "left"), "near-duplicates")
+        return materialise(rows.drop(*FINE_WORDS).join(named, "sig", "left"), "near-duplicates")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -129,6 +129,45 @@ def test_jaccard_join_tells_texts_of_one_id_apart(spark):
         assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(2, a), (5, b), (9, "")])
 
 
+def middling_texts(n, seed=11):
+    """A text and ``n`` copies of it in which 12 to 20 of 150 words differ: some of them are linked."""
+    rng = np.random.default_rng(seed)
+    base = rng_text(rng, 150, 10**6).split()
+    out = [" ".join(base)]
+    for i in range(n):
+        w = list(base)
+        at = int(rng.integers(100))
+        for j in range(int(rng.integers(12, 20))):
+            w[(at + 3 * j) % 150 if i % 2 else int(rng.integers(150))] = f"x{i}y{j}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_few_pairs_of_middling_likeness_reach_the_verification(spark, monkeypatch, few):
+    """Pairs that share shingles but too few are told apart before their texts are read."""
+    from quadloom.llm import op2_jaccard_join as op2
+    texts = middling_texts(120)
+    seen, verified = [], op2.verified
+    monkeypatch.setattr(op2, "FEW_PAIRS", few)
+    monkeypatch.setattr(op2, "verified", lambda pairs, t: seen.append(pairs.count()) or verified(pairs, t))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts)).collect()}
+    sets = shingle_sets(texts)
+    assert [got[i] for i in range(len(texts))] == brute_components(sets)
+    links = sum(4 * len(a & b) >= 3 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert seen[-1] <= 1.1 * links + 20
+    assert len(seen) == 1 or not few
+
+
+def test_bitmap_is_folded_from_the_finer_one(spark):
+    from quadloom.llm import op2_jaccard_join as op2
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
+    fine = dict(zip(op2.FINE_WORDS, bitmap(tokens, op2.FINE).tolist()))
+    got = spark.createDataFrame([tuple(fine.values())], ", ".join(f"{w} bigint" for w in fine)).select(op2.folded()).first()
+    assert list(got) == bitmap(tokens).tolist()
+
+
 def test_components_stop_when_the_links_are_stars(spark, monkeypatch):
     """Links that are stars already take no round, others none after their last."""
     from quadloom.llm import components as module
