@@ -12,11 +12,12 @@ first n - 6n/7 + l shingles, its index part; costs are estimated there, and a li
 any index part is left out.  A pair that meets must also agree in a bitmap: each set keeps the parity of its
 shingles in 256 classes, and two sets differ in at least as many shingles as their bitmaps in bits.
 
-Classes of equal sets are joined once.  Within the list of a shingle, sets are first compared with
+Classes of equal sets are joined once.  Within a long list, sets are first compared with
 one leader, each list with its own; the sets that are now in one component need no more comparison,
 so a group of near-copies costs links in proportion to its size.  All remaining candidate pairs across
-components must agree in a finer bitmap of 1024 classes, too, and are then verified, so no link between
-components is missed.  Lists that hold few pairs for their entries are met as a whole at once.
+components must agree in a finer bitmap of 1024 classes, and are then verified, so no link between
+components is missed.  Short lists hold few pairs for their entries and are met as a whole, without
+leaders before; whether a list is short hangs on the list alone, not on the others of the table.
 
 Which shingles count as frequent only shapes the order.  At most ``MAX_HEAVY`` of them, the most
 frequent, are sent to the tasks; the result is the same for any choice.
@@ -43,7 +44,7 @@ LEAST_HEAVY = 8
 STEPS = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 20.0  # of one candidate, in list entries
 ROUNDS = 3
-FEW_PAIRS = 8  # for each entry: lists that hold no more are met as a whole, without leaders before
+FEW_PAIRS = 8  # for each entry of a list: one that holds no more is met as a whole, without leaders before
 CLASSES = 256
 FINE = 4 * CLASSES
 WORDS = tuple(f"w{k}" for k in range(CLASSES // 64))  # 64 bits each of a set's bitmap
@@ -181,8 +182,8 @@ def prefix(tokens: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[n
 
 
 def postings(docs: DataFrame, n_buckets: int, heavy) -> DataFrame:
-    """(f, sig, n, l, pos): prefix entries of shingles that at least two different sets hold, with
-    their place in the common order."""
+    """(f, sig, n, l, pos, held): prefix entries of shingles that at least two different sets hold, with
+    their place in the common order and the length of their list."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded by MAX_HEAVY
 
     def emit(batches):
@@ -245,20 +246,20 @@ def postings(docs: DataFrame, n_buckets: int, heavy) -> DataFrame:
             new = np.ones(len(f), bool)
             new[1:] = (f[1:] != f[:-1]) | (sig[1:] != sig[:-1])
             f, sig, n, step, pos = f[new], sig[new], n[new], step[new], pos[new]
-            keep = np.zeros(len(f), bool)
-            same = f[1:] == f[:-1]
-            keep[1:] |= same
-            keep[:-1] |= same
+            keep = held = np.zeros(len(f), np.int64)
             if len(f):
-                starts = np.flatnonzero(np.concatenate([[True], ~same]))
+                starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+                sizes = np.diff(np.append(starts, len(f)))
                 met = np.logical_or.reduceat(pos < index_part(n, step.astype(np.int64)), starts)
-                keep &= np.repeat(met, np.diff(np.append(starts, len(f))))
+                keep, held = np.repeat(met & (sizes > 1), sizes), np.repeat(sizes, sizes)
+            keep = keep.astype(bool)
             yield {"f": pa.array(f[keep].astype(np.int64)), "sig": pa.array(sig[keep]),
-                   "n": pa.array(n[keep]), "l": pa.array(step[keep].astype(np.int32)), "pos": pa.array(pos[keep])}
+                   "n": pa.array(n[keep]), "l": pa.array(step[keep].astype(np.int32)), "pos": pa.array(pos[keep]),
+                   "held": pa.array(held[keep])}
 
     blocks = map_arrow(docs.select(utf8(F.col("text")).alias("text")), emit,
                        "bucket int, f binary, owner binary, sig binary, n binary, l binary, pos binary")
-    return map_arrow(by_bucket(blocks, n_buckets), meet, "f bigint, sig bigint, n int, l int, pos int")
+    return map_arrow(by_bucket(blocks, n_buckets), meet, "f bigint, sig bigint, n int, l int, pos int, held bigint")
 
 
 def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -268,8 +269,9 @@ def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity: one join for each side."""
-    side = lambda k: texts.select(F.col("sig").alias(k), F.col("text").alias(f"t{k}"))
+    """The pairs (a, b) whose sets reach the similarity: one join for each side, of the texts it needs."""
+    side = lambda k: texts.select(F.col("sig").alias(k), F.col("text").alias(f"t{k}")).join(
+        pairs.select(k), k, "left_semi")
     rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
@@ -295,75 +297,77 @@ def _alike(x: str, y: str, words: tuple[str, ...]) -> Column:
     return F.expr(f"7 * ({apart}) <= {x}.n + {y}.n")
 
 
-def _in_reach(x: str, y: str) -> Column:
+def _in_reach(x: str, y: str, words: tuple[str, ...]) -> Column:
     """Sizes fit, the match is one of the first l of two sets that share enough, and the bitmaps
     allow it."""
-    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n)") & _alike(x, y, WORDS) & F.expr(
-        f"7L * (least({x}.n - {x}.pos, {y}.n - {y}.pos) + least({x}.l, {y}.l) - 1) >= 3L * ({x}.n + {y}.n)")
+    return F.expr(f"4 * least({x}.n, {y}.n) >= 3 * greatest({x}.n, {y}.n)") & F.expr(
+        f"7L * (least({x}.n - {x}.pos, {y}.n - {y}.pos) + least({x}.l, {y}.l) - 1) >= 3L * ({x}.n + {y}.n)") & _alike(
+        x, y, words)
 
 
-def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Entries of the lists that still span two components, with the component of each."""
+def _named(sets: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The classes ``sets(sig, ...)`` with the component c of each."""
     if comp is None:
-        return entries.withColumn("c", F.col("sig"))
-    named = entries.join(comp.withColumnRenamed("node", "sig"), "sig", "left")
-    named = named.withColumn("c", F.coalesce("component", "sig")).drop("component")
-    spans = named.groupBy("f").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("f")
-    return named.join(spans, "f", "left_semi")
+        return sets.withColumn("c", F.col("sig"))
+    return sets.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+        "c", F.coalesce("component", "sig")).drop("component")
 
 
-def _pairs_per_entry(rows: DataFrame) -> float | None:
-    """All pairs within the lists for each of their entries; None without entries."""
-    n = F.col("count").cast("double")
-    return rows.groupBy("f").count().agg(F.sum(n * (n - 1) / 2) / F.sum(n)).first()[0]
+def _open_lists(named: DataFrame) -> DataFrame:
+    """Entries of the lists that span two components."""
+    spans = named.groupBy("f").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("f")
+    return named.join(spans, "f", "left_semi")
 
 
 def links(entries: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch,
           rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all linked classes, and the verified links (a, b); ``reps`` holds a
     document and the finer bitmap of each class."""
-    wanted = entries.select("sig").distinct()
-    texts = scratch.table(texts_of(docs, reps.select("sig", "rep", "rep_text").join(wanted, "sig", "left_semi")), "class-texts")
-    degree = entries.groupBy("sig").agg(F.count("*").alias("degree"))
-    plain, entries = entries, scratch.table(
-        entries.join(degree.join(reps.select("sig", *folded()), "sig"), "sig"), "entries")
-    scratch.drop(plain)
+    wanted = scratch.table(reps.join(entries.select("sig").distinct(), "sig", "left_semi"), "wanted")
+    texts = scratch.table(texts_of(docs, wanted.select("sig", "rep", "rep_text")), "class-texts")
     comp, tested, found = None, None, None
-    for k in range(rounds + 1):
-        rows = _open_lists(entries, comp)
-        if comp is not None:
-            rows = scratch.table(rows, "open-lists")
-        many = _pairs_per_entry(rows)
-        if many is None and comp is not None:
-            break
-        if k < rounds and many is not None and many > FEW_PAIRS:
-            # first the set with the most shared entries, which lies nearest to the middle of its
-            # group, then others by hash: each list has its own, so that a set meets many of its group
-            rank = F.struct(-F.col("degree"), "sig") if k == 0 else F.struct(F.xxhash64(F.lit(k), "f", "sig"))
-            lead = rows.groupBy("f").agg(F.min_by(F.struct("sig", "n", "c", "l", "pos", *WORDS), rank).alias("y"))
-            pairs = rows.alias("x").join(lead, "f").where((F.col("x.c") != F.col("y.c")) & _in_reach("x", "y"))
-            pairs = pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-        else:
-            k, fine = rounds, rows.join(reps.select("sig", *FINE_WORDS), "sig")
-            # y is the smaller set, so only its index part takes part
-            x, y = fine.alias("x"), fine.where("pos < n - CAST(ceil(6 * n / 7) AS INT) + l").alias("y")
-            pairs = (x.join(y, F.col("x.f") == F.col("y.f"))
-                     .where(F.expr("y.n < x.n OR y.n = x.n AND y.sig < x.sig") & (F.col("x.c") != F.col("y.c"))
-                            & _in_reach("x", "y") & _alike("x", "y", FINE_WORDS))
-                     .groupBy(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
-                     .agg(F.count("*").alias("m"), F.min(F.least("x.l", "y.l")).alias("need"))
-                     .where("m >= need").select("a", "b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "candidates")
-        scratch.drop(rows)
+
+    def confirm(pairs):
+        nonlocal comp, tested, found
+        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         good = scratch.table(verified(pairs, texts), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = good if found is None else found.unionByName(good)
         last, comp = comp, components(good, scratch.table, comp)
         scratch.drop(last)
-        if k == rounds:
-            break
+
+    # pairs of a list for each of its entries
+    long = F.expr(f"(held - 1) / 2 > {FEW_PAIRS}")
+    plain = entries.columns
+    rows = entries.where(long)
+    if rounds and not rows.isEmpty():
+        degree = entries.groupBy("sig").agg(F.count("*").alias("degree"))
+        sets = scratch.table(degree.join(rows.select("sig").distinct(), "sig", "left_semi").join(
+            wanted.select("sig", *folded()), "sig"), "list-classes")
+        for k in range(rounds):
+            last, named = rows, scratch.table(rows.select(*plain).join(_named(sets, comp), "sig"), "named-lists")
+            rows = scratch.table(_open_lists(named), "open-lists")
+            scratch.drop(last, named)
+            if rows.isEmpty():
+                break
+            # first the set with the most shared entries, which lies nearest to the middle of its
+            # group, then others by hash: each list has its own, so that a set meets many of its group
+            rank = F.struct(-F.col("degree"), "sig") if k == 0 else F.struct(F.xxhash64(F.lit(k), "f", "sig"))
+            lead = rows.groupBy("f").agg(F.min_by(F.struct("sig", "n", "c", "l", "pos", *WORDS), rank).alias("y"))
+            pairs = rows.alias("x").join(lead, "f").where((F.col("x.c") != F.col("y.c")) & _in_reach("x", "y", WORDS))
+            confirm(pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct())
+        scratch.drop(sets)
+    # short lists, and long ones that were open before the last round
+    left = entries.where(~long).unionByName(rows.select(*plain)).join(
+        _named(wanted.select("sig", *FINE_WORDS), comp), "sig")
+    # y is the smaller set, so only its index part takes part
+    x, y = left.alias("x"), left.where("pos < n - CAST(ceil(6 * n / 7) AS INT) + l").alias("y")
+    confirm(x.join(y, F.col("x.f") == F.col("y.f"))
+            .where(F.expr("y.n < x.n OR y.n = x.n AND y.sig < x.sig") & (F.col("x.c") != F.col("y.c"))
+                   & _in_reach("x", "y", FINE_WORDS))
+            .groupBy(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
+            .agg(F.count("*").alias("m"), F.min(F.least("x.l", "y.l")).alias("need"))
+            .where("m >= need").select("a", "b"))
     return comp, found
 
 

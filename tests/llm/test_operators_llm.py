@@ -159,6 +159,27 @@ def test_few_pairs_of_middling_likeness_reach_the_verification(spark, monkeypatc
     assert len(seen) == 1 or not few
 
 
+def test_jaccard_join_short_lists_take_no_leader_rounds(spark, monkeypatch):
+    """Entries of short lists stay out of the leader rounds that the long lists of others take."""
+    from quadloom.llm import op2_jaccard_join as op2
+    rng = np.random.default_rng(12)
+    many, few = [rng_text(rng, 150, 10**6).split()], []
+    for i in range(60):
+        many.append(many[0][:])
+        many[-1][2 * i + 5] = f"x{i}"
+    for _ in range(6):
+        text = rng_text(rng, 150, 10**6)
+        few += [text, text + " end"]
+    texts = [" ".join(w) for w in many] + few
+    seen, verified = [], op2.verified
+    monkeypatch.setattr(op2, "verified", lambda pairs, t: seen.append(pairs.collect()) or verified(pairs, t))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, texts)).collect()}
+    sigs = [op2.signature(op2.token_set(op2.encoded([t.encode()])[0][0])) for t in texts]
+    assert [got[i] for i in range(len(texts))] == brute_components(shingle_sets(texts))
+    assert len(seen) > 1 and not {x for pair in seen[0] for x in pair} & set(sigs[61:])
+    assert len(seen[-1]) == 6
+
+
 def test_bitmap_is_folded_from_the_finer_one(spark):
     from quadloom.llm import op2_jaccard_join as op2
     rng = np.random.default_rng(2)
