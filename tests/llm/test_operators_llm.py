@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -19,8 +20,8 @@ from quadloom.llm.op2_jaccard_join import bitmap, index_part, keep_one, near_dup
 from quadloom.llm.op4_warc import decode_block, read_archives, write_archives
 from quadloom.llm.op5_mixing import mix, water_levels
 from quadloom.llm.op6_decontamination import leaks, without_leaks
-from quadloom.llm.op7_substring_dedup import (compact_windows, least_distinct, matching_passages, passages_by_document,
-                                             repeated_passages, sketches)
+from quadloom.llm.op7_substring_dedup import (all_compact_windows, candidates, compact_windows, least_distinct, matching_passages,
+                                             passages_by_document, repeated_passages, sketches, windows)
 from quadloom.llm.op8_quality import keep_good, quality_digest
 from quadloom.llm.op10_lm_scoring import lm_scores
 from quadloom.llm.packed import pack, unpack
@@ -518,6 +519,56 @@ def test_compact_windows_keep_both_ends_of_a_repeated_stretch():
     assert len(compact_windows(np.full(100_000, 7, np.uint64), 46)) == 2
 
 
+def windows_one_by_one(keys, least):
+    """The Cartesian tree node by node; of equal minima with one stretch between them the ends stay."""
+    out, todo = [], [(0, len(keys))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < least:
+            continue
+        ties = [c for c in range(lo, hi) if keys[c] == min(keys[lo:hi])]
+        kept = [c for k, c in enumerate(ties) if not 0 < k < len(ties) - 1
+                or keys[ties[k - 1]:c] != keys[c:ties[k + 1]]]
+        out += [(a, c, hi - 1) for a, c in zip([lo] + [c + 1 for c in kept], kept) if hi - a >= least]
+        todo += [(a, b) for a, b in zip([lo] + [c + 1 for c in ties], ties + [hi])]
+    return sorted(out, key=lambda span: span[1])
+
+
+def test_compact_windows_of_many_texts():
+    rng = np.random.default_rng(10)
+    texts = []
+    for n in (3, 12, 40, 90, 150) * 12:
+        line = rng.integers(0, 1 << 40, rng.integers(1, 14)).tolist()
+        texts.append([rng.integers(0, 4, n).tolist(), rng.integers(0, 1 << 62, n).tolist(), (line * 20)[:n],
+                      rng.integers(0, 1 << 40, n).tolist() + line * 9 + rng.integers(0, 1 << 40, n).tolist()][rng.integers(4)])
+    keys, ends = np.array([x for t in texts for x in t], np.uint64), np.cumsum([len(t) for t in texts])
+    for least in (1, 2, 9, 16):
+        got = sorted(zip(*[column.tolist() for column in all_compact_windows(keys, ends, least)]))
+        assert got == sorted((k, *span) for k, t in enumerate(texts) for span in windows_one_by_one(t, least))
+
+
+def test_compact_windows_take_no_step_for_each():
+    """The work of the interpreter does not grow with the number of texts and windows."""
+    keys, calls = np.random.default_rng(11).integers(1, 1 << 63, 200_000).astype(np.uint64), []
+    for n in (10, 400):
+        calls.append(0)
+        sys.setprofile(lambda *event: calls.__setitem__(-1, calls[-1] + 1))
+        try:
+            found = all_compact_windows(keys, np.arange(1, n + 1) * (len(keys) // n), 46)
+        finally:
+            sys.setprofile(None)
+    assert len(found[0]) > 7000 and max(calls) < 500
+
+
+def test_first_leaders_need_one_shuffle(spark):
+    rng = np.random.default_rng(12)
+    passage = rng_text(rng, 80, 10 ** 6)
+    rows = materialise(windows(table(spark, [passage + " " + rng_text(rng, 60, 10 ** 6) for _ in range(4)]), 3), "windows")
+    pairs = candidates(rows)
+    assert len(re.findall(r"\bExchange ", pairs._jdf.queryExecution().simpleString())) == 1
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
 def test_surroundings_of_minima():
     rng = np.random.default_rng(9)
     for n in (10, 11, 40, 200):
