@@ -180,6 +180,20 @@ def test_a_hub_sends_out_few_links(spark):
     assert op.triangles(links).count() == n - 1
 
 
+def test_triangles_move_numbers(spark, monkeypatch):
+    """Tables on the way hold numbers but for one row a node, and a seed that gives two nodes one hash is not used."""
+    from quadloom.operators import cycles
+    seeds, tables, hashed, table = set(), [], cycles._node_hash, cycles.Scratch.table
+    monkeypatch.setattr(cycles, "_node_hash", lambda node, seed: seeds.add(seed) or (
+        hashed(node, seed) if seed else F.length(node).cast("bigint")))
+    monkeypatch.setattr(cycles.Scratch, "table", lambda self, df, label: tables.append((label, df.dtypes)) or table(self, df, label))
+    links = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(6) for j in range(6)] + [("n0", "far")], "a string, b string")
+    got = [tuple(r) for r in op.triangles(links).collect()]
+    assert sorted(got) == [(f"n{i}", f"n{j}", f"n{k}") for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6)]
+    assert seeds == {0, 1}
+    assert not [label for label, columns in tables if label != "names" and any("string" in kind for _, kind in columns)]
+
+
 def test_closure_of_random_graph(spark):
     rng = random.Random(3)
     edges = {(str(rng.randrange(30)), str(rng.randrange(30))) for _ in range(45)} | {("0", str(i)) for i in range(20)}
